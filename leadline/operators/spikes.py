@@ -420,4 +420,5 @@ def _long_sources(rows: DataFrame, slices: int, small, channels: tuple[Channel,
     # A source has rows / slice_rows slices, each a few thousand counts.
     params = sums.groupBy("_source").applyInPandas(add, f"_source {source_type}, " + ", ".join(f"{k}{i} double" for i in range(len(channels)) for k in _PARAMETERS))
     each = tagged.select("_source", "_slice").distinct().join(small(params), "_source")
-    return tagged.groupBy("_source", "_slice").cogroup(each.groupBy("_source", "_slice")).applyInPandas(judge, out_schema)
+    each = each.toDF(*[f"_p{c}" if c in ("_source", "_slice") else c for c in each.columns])
+    return tagged.groupBy("_source", "_slice").cogroup(each.groupBy("_p_source", "_p_slice")).applyInPandas(judge, out_schema)
