@@ -341,7 +341,7 @@ def flag_implausible(
     types = dict(rows.dtypes)
     out_schema = f"id {types['_id']}, source {types['_source']}, channel string, state string, probability double"
 
-    counts = rows.groupBy("_source").agg(F.count("*").alias("_n"))
+    counts = cut(rows.groupBy("_source").agg(F.count("*").alias("_n")))  # a row a source, used several times
     is_long = F.col("_n") > slice_rows
     total = counts.agg(F.sum("_n"), F.count(F.when(is_long, 1)), F.sum(F.when(is_long, F.col("_n")))).first()
     n_rows, n_long, n_long_rows = int(total[0] or 0), int(total[1]), int(total[2] or 0)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.heavy import heavy_keys, per_key
+from ..operators.near import near_pairs_in_regions, points_in_regions
 from ..operators.spikes import flag_implausible
 from ..sources.tables import table
 
 HEAVY_SHARE = 0.02
+NEAR_METERS = 0.3503
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +26,16 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flag_implausible(table(spark, folder, "points"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Soundings of different containers at most ``NEAR_METERS`` apart, with each area both lie in."""
+    return near_pairs_in_regions(table(spark, folder, "points"), table(spark, folder, "areas"), NEAR_METERS)
+
+
+def p3_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sounding with each area it lies in."""
+    return points_in_regions(table(spark, folder, "points"), table(spark, folder, "areas"))
+
+
 def _point_keys() -> dict:
     cell = F.when(F.col("cell_index") != -1, F.concat(F.col("tile_name"), F.lit("/"), F.col("cell_index")))
     return {"container": F.col("container"), "cell": cell}
@@ -47,6 +59,8 @@ def p6_key_stats(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_flags": p1_flags,
+    "p3_found": p3_found,
+    "p3_areas": p3_areas,
     "p6_found": p6_found,
     "p6_key_stats": p6_key_stats,
 }
@@ -54,7 +68,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _KEYS = """(select 'container' as key_kind, container as key_name, z from points
   union all select 'cell', case when cell_index <> -1 then tile_name || '/' || cast(cell_index as varchar) end, z from points)"""
 
+#: Soundings with the areas they lie in: boxes from the rings, then crossings of a ray.
+_INSIDE = """edges as (select area_id, unnest([{'a': ring[i], 'b': ring[i % len(ring) + 1]} for i in range(1, len(ring) + 1)]) as e from areas),
+  boxes as (select area_id, min(e.a.x) as x0, max(e.a.x) as x1, min(e.a.y) as y0, max(e.a.y) as y1 from edges group by 1),
+  pts as (select distinct point_id, x, y, container from points where x is not null and y is not null),
+  near as (select p.*, b.area_id from pts p join boxes b on p.x between b.x0 and b.x1 and p.y between b.y0 and b.y1),
+  inside as (select n.point_id, any_value(n.x) as x, any_value(n.y) as y, any_value(n.container) as container, n.area_id
+    from near n join edges using (area_id)
+    where (e.a.y > n.y) <> (e.b.y > n.y) and n.x < (e.b.x - e.a.x) * (n.y - e.a.y) / (e.b.y - e.a.y) + e.a.x
+    group by n.point_id, n.area_id having count(*) % 2 = 1)"""
+
 SQL: dict[str, str] = {
+    "p3_areas": f"with {_INSIDE} select point_id, area_id from inside",
+    "p3_found": f"""with {_INSIDE},
+  binned as (select *, floor(x / {NEAR_METERS}) as bx, floor(y / {NEAR_METERS}) as by_ from inside where container is not null),
+  around as (select b.*, bx + dx as nx, by_ + dy as ny from binned b, (values (-1), (0), (1)) s(dx), (values (-1), (0), (1)) t(dy))
+  select a.point_id as point_id_a, b.point_id as point_id_b, a.area_id from around a
+  join binned b on a.nx = b.bx and a.ny = b.by_ and a.area_id = b.area_id
+  where a.point_id < b.point_id and a.container <> b.container
+  and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR_METERS} * {NEAR_METERS}""",
     "p6_found": f"""select key_kind, key_name from {_KEYS} where key_name is not null group by 1, 2
   having count(*) >= 0.02 * (select count(*) from points)""",
     "p6_key_stats": f"""select key_kind, key_name, count(*) as n_rows,
