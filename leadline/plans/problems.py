@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.heavy import heavy_keys, per_key
 from ..operators.near import near_pairs_in_regions, points_in_regions
+from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from ..operators.spikes import flag_implausible
+from ..sources.archive import decode_ids
 from ..sources.tables import table
 
 HEAVY_SHARE = 0.02
@@ -26,6 +28,23 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flag_implausible(table(spark, folder, "points"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose every distinct record one other file of the same grid, tile and layer holds too."""
+    return files_adding_nothing(archive_files(table(spark, folder, "tile_files"))).select(F.col("key").alias("file_id"))
+
+
+def p2_consolidated(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record of a grid, tile and layer once, read back from the blocks."""
+    contents = consolidate(table(spark, folder, "tile_files")).contents()
+    return contents.select("grid_name", "tile_name", "layer", F.explode(decode_ids(F.col("content"))).alias("record_id"))
+
+
+def p2_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of the archive of all files: members, records and bytes of each grid, tile and layer."""
+    index = archive_files(table(spark, folder, "tile_files")).index()
+    return index.groupBy("grid_name", "tile_name", "layer").agg(F.count("*").alias("n_files"), F.sum(F.col("length") / 8).cast("bigint").alias("n_records"), F.countDistinct("bucket").alias("n_blocks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Soundings of different containers at most ``NEAR_METERS`` apart, with each area both lie in."""
     return near_pairs_in_regions(table(spark, folder, "points"), table(spark, folder, "areas"), NEAR_METERS)
@@ -59,6 +78,9 @@ def p6_key_stats(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_flags": p1_flags,
+    "p2_found": p2_found,
+    "p2_consolidated": p2_consolidated,
+    "p2_blocks": p2_blocks,
     "p3_found": p3_found,
     "p3_areas": p3_areas,
     "p6_found": p6_found,
@@ -79,6 +101,13 @@ _INSIDE = """edges as (select area_id, unnest([{'a': ring[i], 'b': ring[i % len(
     group by n.point_id, n.area_id having count(*) % 2 = 1)"""
 
 SQL: dict[str, str] = {
+    "p2_found": """with f as (select file_id, grid_name, tile_name, layer, list_distinct(record_ids) as ids from tile_files),
+  e as (select file_id, grid_name, tile_name, layer, len(ids) as n, unnest(ids) as id from f)
+  select distinct file_id from (select a.file_id, b.file_id as other from e a join e b using (grid_name, tile_name, layer, id)
+  where a.file_id <> b.file_id and (b.n > a.n or (b.n = a.n and b.file_id < a.file_id)) group by 1, 2, a.n having count(*) = a.n)""",
+    "p2_consolidated": "select distinct grid_name, tile_name, layer, unnest(record_ids) as record_id from tile_files",
+    "p2_blocks": """select grid_name, tile_name, layer, count(*) as n_files, cast(sum(len(record_ids)) as bigint) as n_records,
+  greatest(1, cast(ceil(sum(len(record_ids)) * 8 / 33554432.0) as bigint)) as n_blocks from tile_files group by 1, 2, 3""",
     "p3_areas": f"with {_INSIDE} select point_id, area_id from inside",
     "p3_found": f"""with {_INSIDE},
   binned as (select *, floor(x / {NEAR_METERS}) as bx, floor(y / {NEAR_METERS}) as by_ from inside where container is not null),
