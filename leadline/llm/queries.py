@@ -8,9 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .quantiles import merge, quantiles, sketch
 from .topn import cluster, top_n
 
 SHOALEST = 3
+PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def _soundings(points: DataFrame) -> DataFrame:
+    """Each sounding once.  Its rows are equal in container and time, so they meet in one task without a shuffle by id, and what is near in time stays together."""
+    near = points.withColumn("_slot", F.floor(F.unix_seconds("ping_time") / 600)).repartition("container", "_slot")
+    return near.dropDuplicates(["container", "_slot", "point_id"])
+
+
+def _daily(points: DataFrame) -> DataFrame:
+    """A sketch of z for each day of every container and every cell."""
+    cell = F.when(F.col("cell_index") != -1, F.concat(F.col("tile_name"), F.lit("/"), F.col("cell_index")))
+    key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    rows = _soundings(points.select("point_id", "container", "tile_name", "cell_index", "z", "ping_time"))
+    rows = rows.select(F.to_date("ping_time").alias("day"), "z", F.explode(F.array(key("container", F.col("container")), key("cell", cell))).alias("k"))
+    return sketch(rows, {"key_kind": F.col("k.kind"), "key_name": F.col("k.name"), "day": F.col("day")}, F.col("z"))
+
+
+def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of z of every container and every cell, from the sketches of its days."""
+    keys = ["key_kind", "key_name"]
+    return quantiles(merge(_daily(table(spark, folder, "points")), keys), keys, PERCENTILES)
+
+
+def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of z of each day of every container and every cell."""
+    return quantiles(_daily(table(spark, folder, "points")), ["key_kind", "key_name", "day"], PERCENTILES)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +48,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_percentiles": p4_percentiles,
+    "p4_daily": p4_daily,
     "p5_found": p5_found,
 }
 
