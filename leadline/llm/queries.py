@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from ..sources.tables import table
+from .mixing import mix
+from .packing import pack
 from .quantiles import merge, quantiles, sketch
+from .tokens import n_tokens
 from .topn import cluster, top_n
 
 SHOALEST = 3
+CAPACITY = 2048
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
@@ -47,10 +52,41 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(cluster(points, ["tile_name", "cell_index"], "z", "point_id"), SHOALEST).select("tile_name", "cell_index", "point_id")
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in a window of ``CAPACITY`` tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
+    return pack(cut(docs), "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """What each window holds and leaves unused."""
+    windows = p7_packed(spark, folder).groupBy("window").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+    return windows.withColumn("unused", F.lit(CAPACITY) - F.col("n_tokens"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
+    return mix(docs, table(spark, folder, "mix_targets"), "doc_id", F.lower(F.trim("source")), F.col("n_tokens"))
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that mix the sources to their target shares, with the copies of each."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached."""
+    return _mixed(spark, folder)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_percentiles": p4_percentiles,
     "p4_daily": p4_daily,
     "p5_found": p5_found,
+    "p7_packed": p7_packed,
+    "p7_windows": p7_windows,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
 }
 
 SQL: dict[str, str] = {
