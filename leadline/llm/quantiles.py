@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 SECTION = 32
 _SECTIONS = 3
 #: Rows of one task that are gathered before they are sketched.
@@ -254,7 +256,7 @@ def quantiles(sketches: DataFrame, keys: list[str], q: dict[str, float], section
     still holds every value.
     """
     rows = sketches.select(*keys, "n", "level", "items")
-    per_key = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("level").alias("_top"), F.collect_list(F.struct("level", "items")).alias("_l"))
+    per_key = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("level").alias("_top"), F.collect_list(F.struct("level", "items")).alias("_l")))
     fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys)
     probs, error = list(q.values()), rank_error(section)
 
