@@ -11,6 +11,7 @@ from ..sources.shared import cut
 from ..sources.tables import table
 from .mixing import mix
 from .packing import pack
+from .quality import prose, text_quality
 from .quantiles import merge, quantiles, sketch
 from .tokens import n_tokens
 from .topn import cluster, top_n
@@ -79,6 +80,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every text."""
+    return text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that are natural prose."""
+    return prose(p9_stats(spark, folder)).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_percentiles": p4_percentiles,
     "p4_daily": p4_daily,
@@ -87,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_windows": p7_windows,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_stats": p9_stats,
 }
 
 SQL: dict[str, str] = {
