@@ -18,19 +18,16 @@ def _section(i: Column, n: Column, longest: int) -> Column:
 
 
 def chunk_tiles(tiles: DataFrame, tile_size: float, greatest: float = GREATEST) -> DataFrame:
-    """``(tile_x, tile_y, chunk, chunk_row, chunk_col)`` of each tile; chunks without tiles have no number."""
+    """``(tile_x, tile_y, chunk, chunk_row, chunk_col)`` of each tile; chunks are numbered row by row, those without tiles don't occur."""
     longest = max(int(greatest // tile_size), 1)
     each = tiles.select("tile_x", "tile_y").distinct()
     ends = each.agg(*[f(c).alias(f"{n}_{c}") for c in ("tile_x", "tile_y") for n, f in (("lo", F.min), ("hi", F.max))])
     place = lambda c: ((F.col(c) - F.col(f"lo_{c}")) / F.lit(float(tile_size))).cast("bigint")
     n = lambda c: ((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.lit(float(tile_size)) + 1).cast("bigint")
     rows = each.crossJoin(F.broadcast(ends))  # one row
-    rows = rows.select("tile_x", "tile_y", _section(place("tile_y"), n("tile_y"), longest).alias("chunk_row"), _section(place("tile_x"), n("tile_x"), longest).alias("chunk_col"))
-    # There are far fewer chunks than tiles: (extent / greatest) squared at most.
-    found = rows.select("chunk_row", "chunk_col").distinct()
-    ahead = found.toDF("_r", "_c").join(F.broadcast(found), (F.col("_r") < F.col("chunk_row")) | ((F.col("_r") == F.col("chunk_row")) & (F.col("_c") <= F.col("chunk_col"))))
-    numbers = ahead.groupBy("chunk_row", "chunk_col").agg(F.count("*").cast("int").alias("chunk"))
-    return rows.join(numbers, ["chunk_row", "chunk_col"]).select("tile_x", "tile_y", "chunk", "chunk_row", "chunk_col")
+    across = F.ceil(n("tile_x") / F.lit(longest)).cast("int")
+    rows = rows.select("tile_x", "tile_y", _section(place("tile_y"), n("tile_y"), longest).alias("chunk_row"), _section(place("tile_x"), n("tile_x"), longest).alias("chunk_col"), across.alias("_k"))
+    return rows.select("tile_x", "tile_y", (F.col("chunk_row") * F.col("_k") + F.col("chunk_col")).alias("chunk"), "chunk_row", "chunk_col")
 
 
 def chunk_geotransforms(chunked: DataFrame, resolution: float, tile_size: float) -> DataFrame:
