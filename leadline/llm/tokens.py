@@ -34,4 +34,5 @@ def n_tokens(text: Column, tokenizer: str = TOKENIZER) -> Column:
         enc = encoding(tokenizer)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
-    return count(text)
+    # Marked so that a filter on the number does not count every text twice.
+    return count.asNondeterministic()(text)
