@@ -240,16 +240,23 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, prior: np.ndarray, firs
 
 
 def _nearby_scatter(x: _Readings, width: int) -> np.ndarray:
-    """Scatter of the residuals in chunks of ``width`` readings of a source; the last chunk takes what is left over."""
+    """Scatter of the residuals nearby: the larger of two, in chunks of ``width`` readings of a source and in chunks shifted by half of that.
+
+    The chunk at either end takes what is left over.
+    """
     begin = np.flatnonzero(x.first)
     size = np.diff(np.r_[begin, len(x.r)])
     place = np.arange(len(x.r)) - np.repeat(begin, size)
-    inner = np.minimum(place // width, np.maximum(np.repeat(size, size) // width - 1, 0))
-    chunk = np.cumsum(x.first | np.r_[False, inner[1:] != inner[:-1]]) - 1
+    most = np.maximum(np.repeat(size, size) // width - 1, 0)
     a = np.abs(x.r)
-    order = np.lexsort((a, chunk))
-    n = np.bincount(chunk)
-    return 1.4826 * a[order][np.r_[0, np.cumsum(n)[:-1]] + n // 2][chunk]
+
+    def scatter(inner: np.ndarray) -> np.ndarray:
+        chunk = np.cumsum(x.first | np.r_[False, inner[1:] != inner[:-1]]) - 1
+        order = np.lexsort((a, chunk))
+        n = np.bincount(chunk)
+        return 1.4826 * a[order][np.r_[0, np.cumsum(n)[:-1]] + n // 2][chunk]
+
+    return np.maximum(scatter(np.minimum(place // width, most)), scatter(np.clip((place - width // 2) // width, 0, np.maximum(most - 1, 0))))
 
 
 def _judge(x: _Readings, p: dict[str, np.ndarray], ch: Channel, m: Model, n_all: int) -> tuple[np.ndarray, np.ndarray]:
