@@ -1,2 +1,248 @@
-"""Placeholder, replaced below."""
+"""CUBE: combined uncertainty and bathymetry estimation.
+
+After Calder and Mayer, "Automatic processing of high-rate, high-density
+multibeam echosounder data" (2003).  Every node takes in the soundings close to
+it, each with a variance that grows with its distance; a short median queue
+turns stray values aside; a Kalman filter follows the depth, and a value that
+doesn't fit starts another hypothesis.  At the end one hypothesis of each node
+is chosen.
+
+Scale.  Blocks of a few nodes are estimated each by itself, from the soundings
+that reach them; what leaves a block is a few numbers a node.  The soundings of
+one block pass through it in order, so a block is the least unit of work.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.rounding import to_mm
+from .cells import register_tile_method
+from .keys import with_cells
+from .neighbors import halo_points
+
 CUBE = "cube"
+BLOCK = 8  # nodes a side
+
+#: Fixed values of the published method: length of the median queue, share of
+#: the depth within which a sounding is taken in and the least such distance,
+#: confidence factor, offset and limits of the monitor.
+QUEUE, CAPTURE, CAPTURE_LEAST, CONFIDENCE, OFFSET, BAYES_LEAST, RUN_MOST = 11, 0.05, 0.5, 1.96, 4.0, 0.135, 5
+#: Constant and depth-dependent part of the permitted uncertainty.
+IHO = {"exclusive": (0.15, 0.0075), "special": (0.25, 0.0075), "order1a": (0.5, 0.013), "order1b": (0.5, 0.013), "order2": (1.0, 0.023)}
+METHODS = ("local", "prior", "posterior", "predict")
+VARIANCES = ("cube", "input", "max")
+#: Nodes to either side in which a node with one hypothesis guides its neighbors.
+CONTEXT = 10
+
+
+class Nodes:
+    """The estimators of n nodes, side by side in arrays."""
+
+    def __init__(self, n: int):
+        self.queue_z, self.queue_v, self.held = np.full((n, QUEUE), np.inf), np.zeros((n, QUEUE)), np.zeros(n, np.int64)
+        self.count = np.zeros(n, np.int64)  # hypotheses
+        self.mean, self.var, self.size, self.bayes, self.run, self.square = (np.zeros((n, 1)) for _ in range(6))
+
+    def feed(self, node: np.ndarray, z: np.ndarray, v: np.ndarray) -> None:
+        """Soundings in order: the first of every node, then the second, and so on."""
+        order = np.argsort(node, kind="stable")
+        node, z, v = node[order], z[order], v[order]
+        begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+        length = np.diff(np.r_[begin, len(node)])
+        for k in range(int(length.max()) if len(length) else 0):
+            at = begin[length > k] + k
+            self._queue(node[at], z[at], v[at])
+
+    def _queue(self, node: np.ndarray, z: np.ndarray, v: np.ndarray) -> None:
+        full = self.held[node] == QUEUE
+        some = node[full]
+        if len(some):
+            # The middle one goes on to the filter; the new one takes its place.
+            self._filter(some, self.queue_z[some, QUEUE // 2], self.queue_v[some, QUEUE // 2])
+        slot = np.where(full, QUEUE // 2, self.held[node])
+        self.queue_z[node, slot], self.queue_v[node, slot] = z, v
+        self.held[node] += ~full
+        rank = np.argsort(self.queue_z[node], axis=1, kind="stable")
+        self.queue_z[node] = np.take_along_axis(self.queue_z[node], rank, axis=1)
+        self.queue_v[node] = np.take_along_axis(self.queue_v[node], rank, axis=1)
+
+    def flush(self) -> None:
+        """Nodes that got less than a full queue take in what they have, from the middle outward."""
+        few = np.flatnonzero((self.count == 0) & (self.held > 0))
+        for k in range(QUEUE):
+            step = (k + 1) // 2 * (1 if k % 2 else -1)
+            at = self.held[few] // 2 + step
+            ok = (at >= 0) & (at < self.held[few])
+            if ok.any():
+                self._filter(few[ok], self.queue_z[few[ok], at[ok]], self.queue_v[few[ok], at[ok]])
+
+    def _filter(self, node: np.ndarray, z: np.ndarray, v: np.ndarray) -> None:
+        width = self.mean.shape[1]
+        there = np.arange(width)[None, :] < self.count[node][:, None]
+        error = np.where(there, np.abs(z[:, None] - self.mean[node]) / np.sqrt(self.var[node] + v[:, None]), np.inf)
+        h = np.argmin(error, axis=1)
+        e = error[np.arange(len(node)), h]
+        with np.errstate(over="ignore"):
+            factor = np.exp(0.5 * (OFFSET**2 - 2 * OFFSET * np.where(np.isfinite(e), e, 1e3)))
+        fits = factor >= BAYES_LEAST
+        cum = factor * np.minimum(1.0, self.bayes[node, h])
+        run = np.where(factor > 1, 0, self.run[node, h] + 1)
+        # A hypothesis that drifts, bit by bit, is left as it is, and another begun.
+        fits &= (cum >= BAYES_LEAST) & (run <= RUN_MOST)
+        a, i = node[fits], h[fits]
+        m, p, zz, vv = self.mean[a, i], self.var[a, i], z[fits], v[fits]
+        gain = p / (p + vv)
+        self.mean[a, i], self.var[a, i] = m + gain * (zz - m), p * vv / (p + vv)
+        self.size[a, i] += 1
+        self.square[a, i] += (zz - m) * (zz - self.mean[a, i])
+        self.bayes[a, i], self.run[a, i] = cum[fits], run[fits]
+        b = node[~fits]
+        if len(b):
+            if int(self.count[b].max()) == width:
+                more = lambda x: np.concatenate([x, np.zeros_like(x)], axis=1)
+                self.mean, self.var, self.size, self.bayes, self.run, self.square = map(more, (self.mean, self.var, self.size, self.bayes, self.run, self.square))
+            j = self.count[b]
+            self.mean[b, j], self.var[b, j], self.size[b, j], self.bayes[b, j] = z[~fits], v[~fits], 1, 1.0
+            self.count[b] += 1
+
+
+def reach(z: np.ndarray, tvu: np.ndarray, thu: np.ndarray, resolution: float, order: str) -> np.ndarray:
+    """How far from a node a sounding still counts: what its variance leaves within the permitted one, and the capture distance."""
+    fixed, per = IHO[order]
+    ratio = np.maximum((fixed**2 + (per * z) ** 2) / CONFIDENCE**2 / np.maximum(tvu, 1e-12), 2.0)
+    effect = np.maximum(resolution * np.sqrt(ratio - 1) - 2.5758 * np.sqrt(thu), resolution)
+    return np.minimum(effect, np.maximum(CAPTURE * np.abs(z), CAPTURE_LEAST))
+
+
+def estimate(x: np.ndarray, y: np.ndarray, z: np.ndarray, tvu: np.ndarray, thu: np.ndarray, x0: float, y0: float, n_rows: int, n_cols: int, resolution: float, order: str = "order1a") -> Nodes:
+    """Estimators of a raster whose south-west corner is (x0, y0); ``tvu`` and ``thu`` are variances.
+
+    Soundings are taken in from south to north, west to east, so that the
+    result doesn't depend on how they were stored.
+    """
+    by = np.lexsort((thu, tvu, z, x, y))
+    x, y, z, tvu, thu = (a[by] for a in (x, y, z, tvu, thu))
+    nodes = Nodes(n_rows * n_cols)
+    r = reach(z, tvu, thu, resolution, order)
+    low = lambda v, o: np.ceil((v - r - o) / resolution - 0.5).astype(np.int64)
+    high = lambda v, o: np.floor((v + r - o) / resolution - 0.5).astype(np.int64)
+    i0, i1 = np.maximum(low(y, y0), 0), np.minimum(high(y, y0), n_rows - 1)
+    j0, j1 = np.maximum(low(x, x0), 0), np.minimum(high(x, x0), n_cols - 1)
+    ni, nj = np.maximum(i1 - i0 + 1, 0), np.maximum(j1 - j0 + 1, 0)
+    pairs = ni * nj
+    # In pieces, so that soundings that reach many nodes need no more memory.
+    piece = np.cumsum(pairs) // 2_000_000
+    for p in np.unique(piece):
+        at = np.flatnonzero((piece == p) & (pairs > 0))
+        s = np.repeat(at, pairs[at])
+        k = np.arange(len(s)) - np.repeat(np.cumsum(pairs[at]) - pairs[at], pairs[at])
+        i, j = i0[s] + k // nj[s], j0[s] + k % nj[s]
+        far = np.hypot(x[s] - x0 - (j + 0.5) * resolution, y[s] - y0 - (i + 0.5) * resolution)
+        near = far < r[s]
+        s, far = s[near], far[near]
+        v = tvu[s] * (1 + ((far + CONFIDENCE * np.sqrt(thu[s])) / resolution) ** 2)
+        nodes.feed(i[near] * n_cols + j[near], z[s], v)
+    nodes.flush()
+    return nodes
+
+
+def hypotheses(nodes: Nodes) -> pd.DataFrame:
+    """``(node, depth, var, size, spread)``, a row for each hypothesis."""
+    node, h = np.nonzero(np.arange(nodes.mean.shape[1])[None, :] < nodes.count[:, None])
+    n = nodes.size[node, h]
+    return pd.DataFrame({"node": node, "depth": nodes.mean[node, h], "var": nodes.var[node, h], "size": n.astype(np.int64), "spread": nodes.square[node, h] / np.maximum(n - 1, 1)})
+
+
+def choose(hyp: pd.DataFrame, method: str = "local", variance: str = "cube") -> pd.DataFrame:
+    """One hypothesis for each node: ``(row, col, depth, total_uncertainty, hypothesis_count, hypothesis_ratio)``.
+
+    ``hyp`` has ``row``, ``col`` and the columns of :func:`hypotheses`.
+    ``prior`` takes the one with most soundings; ``local`` the one nearest in
+    depth to the nearest node with a single hypothesis; ``posterior`` weighs
+    both; ``predict`` takes the one nearest to the mean of the single
+    hypotheses around.  The ratio is 0 for a single hypothesis and rises to 5
+    the less soundings favor the chosen one.
+    """
+    hyp = hyp.sort_values(["row", "col", "size", "depth"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
+    row, col, size, depth = (hyp[c].to_numpy() for c in ("row", "col", "size", "depth"))
+    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])])
+    count = np.diff(np.r_[begin, len(hyp)])
+    picked = begin.copy()  # the one with most soundings
+    if method != "prior" and (count > 1).any():
+        alone = begin[count == 1]
+        place = {}
+        for a in alone:
+            place[row[a], col[a]] = (depth[a], hyp["var"].to_numpy()[a])
+        for b, n in zip(begin[count > 1], count[count > 1], strict=True):
+            around = [(i * i + j * j, *place[row[b] + i, col[b] + j]) for i in range(-CONTEXT, CONTEXT + 1) for j in range(-CONTEXT, CONTEXT + 1) if (row[b] + i, col[b] + j) in place]
+            if not around:
+                continue
+            _, guide, spread = min(around)
+            if method == "predict":
+                guide = float(np.mean([g for _, g, _ in around]))
+            d = np.abs(depth[b : b + n] - guide)
+            score = -d if method != "posterior" else np.log(size[b : b + n]) - 0.5 * d**2 / (hyp["var"].to_numpy()[b : b + n] + spread)
+            picked[np.searchsorted(begin, b)] = b + int(np.argmax(score))
+    total = np.add.reduceat(size, begin) if len(begin) else np.zeros(0)
+    rest = total - size[picked]
+    ratio = np.where(count == 1, 0.0, np.clip(5.0 - size[picked] / np.maximum(rest, 1), 0.0, 5.0))
+    out = hyp.iloc[picked]
+    v = {"cube": out["var"], "input": out["spread"], "max": np.maximum(out["var"], out["spread"])}[variance]
+    return pd.DataFrame({"row": out["row"].to_numpy(), "col": out["col"].to_numpy(), "depth": out["depth"].to_numpy(), "total_uncertainty": CONFIDENCE * np.sqrt(v.to_numpy()), "hypothesis_count": count, "hypothesis_ratio": ratio})
+
+
+def cube_cells(keyed: DataFrame, leaf: float, prefix: str = "tile", parameters: dict | None = None) -> DataFrame:
+    """Cells of points with tile keys, ``resolution``, ``tvu`` and ``thu``: ``(keys, depth, total_uncertainty, hypothesis_count, hypothesis_ratio, density)``.
+
+    Parameters: ``method``, ``iho_order``, ``variance_selection``, and ``halo``,
+    the points of neighboring tiles (columns ``for_x``, ``for_y``); without it,
+    those within a tenth of a tile of the borders among ``keyed``.  Points
+    without depth or uncertainties count in the density only.
+    """
+    given = parameters or {}
+    method, order, variance = given.get("method", "local"), given.get("iho_order", "order1a"), given.get("variance_selection", "cube")
+    if method not in METHODS or order not in IHO or variance not in VARIANCES:
+        raise ValueError(f"method must be one of {METHODS}, iho_order of {tuple(IHO)}, variance_selection of {VARIANCES}")
+    tx, ty = f"{prefix}_x", f"{prefix}_y"
+    keys, columns = [tx, ty, "resolution"], ["x", "y", "z", "tvu", "thu"]
+    halo = given.get("halo")
+    if halo is None:
+        halo = halo_points(keyed.select(F.col(tx).alias("tile_x"), F.col(ty).alias("tile_y"), *columns), leaf, leaf / 10)
+    tiles = keyed.select(*keys).distinct()
+    own = keyed.select(*keys, *columns)
+    around = halo.select(F.col("for_x").alias(tx), F.col("for_y").alias(ty), *columns).join(tiles, [tx, ty]).select(*keys, *columns)
+    every = own.unionByName(around).dropna(subset=columns).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    # The blocks of nodes within the capture distance; the kernel looks closer.
+    far, res = F.greatest(F.abs("z") * CAPTURE, F.lit(CAPTURE_LEAST)), F.col("resolution")
+    last = F.ceil(F.lit(leaf) / res) - 1
+    first_node = lambda c, o: F.greatest(F.ceil((F.col(c) - far - F.col(o)) / res - 0.5), F.lit(0))
+    last_node = lambda c, o: F.least(F.floor((F.col(c) + far - F.col(o)) / res - 0.5), last)
+    span = lambda c, o: F.when(first_node(c, o) <= last_node(c, o), F.sequence(F.floor(first_node(c, o) / BLOCK).cast("int"), F.floor(last_node(c, o) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    blocks = every.withColumn("_bi", F.explode(span("y", ty))).withColumn("_bj", F.explode(span("x", tx)))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = pdf.iloc[0]
+        n = int(np.ceil(leaf / f["resolution"]))
+        i, j, step = int(f["_bi"]) * BLOCK, int(f["_bj"]) * BLOCK, f["resolution"]
+        rows, cols = min(BLOCK, n - i), min(BLOCK, n - j)
+        found = hypotheses(estimate(*(pdf[c].to_numpy(np.float64) for c in columns), f[tx] + j * step, f[ty] + i * step, rows, cols, step, order))
+        node = found.pop("node").to_numpy()
+        return found.assign(row=i + node // cols, col=j + node % cols, **{k: f[k] for k in keys})[[*keys, "row", "col", "depth", "var", "size", "spread"]]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        return choose(pdf, method, variance).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "row", "col", "depth", "total_uncertainty", "hypothesis_count", "hypothesis_ratio"]]
+
+    key_types = ", ".join(f"{k} double" for k in keys) + ", row int, col int"
+    hyp = blocks.groupBy(*keys, "_bi", "_bj").applyInPandas(block, f"{key_types}, depth double, var double, size bigint, spread double")
+    # A tile's hypotheses: a few short rows a node.
+    nodes = hyp.groupBy(*keys).applyInPandas(pick, f"{key_types}, depth double, total_uncertainty double, hypothesis_count bigint, hypothesis_ratio double")
+    nodes = nodes.withColumns({c: to_mm(F.col(c)) for c in ("depth", "total_uncertainty", "hypothesis_ratio")})
+    density = with_cells(keyed, prefix).groupBy(*keys, "row", "col").agg(F.count("*").alias("density"))
+    return nodes.join(density, [*keys, "row", "col"], "full").withColumn("density", F.coalesce("density", F.lit(0)))
+
+
+register_tile_method(CUBE, cube_cells)
