@@ -19,10 +19,12 @@ def values_at(places: DataFrame, cells: DataFrame, layer: str, key: str = "query
     if not resolutions:
         return places.select(key, "x", "y", F.lit(None).cast("double").alias("resolution"), F.lit(nodata).cast("double").alias("value"))
     index = lambda c, r: F.floor(c / r).cast("bigint")
-    asked = places.withColumn("_row", F.monotonically_increasing_id())
-    each = asked.select("_row", F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("resolution"), "x", "y")
-    each = each.select("_row", "resolution", index(F.col("x"), F.col("resolution")).alias("_gx"), index(F.col("y"), F.col("resolution")).alias("_gy"))
+    asked = places.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), "x", "y")
+    each = asked.select("*", F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("resolution"))
+    each = each.withColumns({"_gx": index(F.col("x"), F.col("resolution")), "_gy": index(F.col("y"), F.col("resolution"))})
     # Tiles start at multiples of every resolution in use, so an index within the tile gives one within the plane.
     have = cells.where(F.col(layer).isNotNull()).select("resolution", (index(F.col("tile_x"), F.col("resolution")) + F.col("col")).alias("_gx"), (index(F.col("tile_y"), F.col("resolution")) + F.col("row")).alias("_gy"), F.col(layer).cast("double").alias("_v"))
-    best = each.join(have, ["resolution", "_gx", "_gy"]).groupBy("_row").agg(F.min(F.struct("resolution", "_v")).alias("_b"))
-    return asked.join(best, "_row", "left").select(key, "x", "y", F.col("_b.resolution").alias("resolution"), F.coalesce(F.col("_b._v"), F.lit(nodata).cast("double")).alias("value"))
+    # The places pass through once: their row numbers need not be the same on a second reading.
+    found = F.min(F.when(F.col("_v").isNotNull(), F.struct("resolution", "_v")))
+    best = each.join(have, ["resolution", "_gx", "_gy"], "left").groupBy("_row").agg(F.first("_key").alias(key), F.first("x").alias("x"), F.first("y").alias("y"), found.alias("_b"))
+    return best.select(key, "x", "y", F.col("_b.resolution").alias("resolution"), F.coalesce(F.col("_b._v"), F.lit(nodata).cast("double")).alias("value"))
