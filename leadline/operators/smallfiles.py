@@ -33,8 +33,9 @@ def files_adding_nothing(archive: Archive) -> DataFrame:
     """Keys of the non-empty files whose distinct records all occur in one other file of their group that has more of them, or as many and a smaller key.
 
     Files of equal sets share the set's checksum; all but the least key add
-    nothing.  For the rest, only files that hold the rarest record of a file
-    can contain it; those with more records are compared exactly.  Files with
+    nothing.  Of the rest, those whose records others hold, too, are looked up
+    in the files that hold their rarest record; those with more records are
+    compared exactly.  Files with
     a null group column belong to no group and are never listed.
     """
     group = list(archive.group)
@@ -43,9 +44,10 @@ def files_adding_nothing(archive: Archive) -> DataFrame:
     twins = index.select(*group, "set_checksum", "key").join(keep.select(*group, "set_checksum", F.col("key").alias("_least")), [*group, "set_checksum"]).where("key > _least").select("key")
 
     records = cut(_records(archive).dropna(subset=group).join(keep.select("key"), "key", "left_semi").select(*group, "key", "n_distinct", "id"))
-    holders = records.groupBy(*group, "id").agg(F.count("*").alias("_holders"))
-    rarest = records.join(holders, [*group, "id"]).groupBy(*group, "key", "n_distinct").agg(F.min(F.struct("_holders", "id")).alias("_r")).where("_r._holders > 1")
-    rarest = rarest.select(*group, "key", "n_distinct", F.col("_r.id").alias("id"))
+    # A file can only be part of another if others hold each of its records.
+    holders = records.groupBy(*group, "id").agg(F.count("*").alias("_holders")).where("_holders > 1")
+    covered = records.join(holders, [*group, "id"]).groupBy(*group, "key", "n_distinct").agg(F.count("*").alias("_covered"), F.min(F.struct("_holders", "id")).alias("_r"))
+    rarest = covered.where("_covered = n_distinct").select(*group, "key", "n_distinct", F.col("_r.id").alias("id"))
     larger = records.select(*group, "id", F.col("key").alias("other"), F.col("n_distinct").alias("_n"))
     pairs = rarest.join(larger, [*group, "id"]).where("_n > n_distinct").select("key", "n_distinct", "other")
     mine = records.select("key", "id")

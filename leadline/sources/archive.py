@@ -57,15 +57,14 @@ def pack(files: DataFrame, path: str, content: str, group: list[str], carry: lis
     """Write the files, one row each, to an archive of blocks of about ``block_bytes`` a group.
 
     A group of any size is dealt out to as many blocks as it needs by a hash of
-    the path, so no task holds more than a block or so.  Rows of one path are
-    packed once.  A row with a null path or null content is no file; an empty
+    the path, so no task holds more than a block or so.  Rows of one path in a
+    group are packed once.  A row with a null path or null content is no file; an empty
     content is kept as a member of length 0.  Null group columns make a group
     of their own.  ``carry`` names further columns for the index.
     """
     carry = carry or []
     rows = files.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col(path).cast("string").alias("_path"), F.col(content).alias("_content"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     keys = [f"_g{i}" for i in range(len(group))]
-    rows = rows.dropDuplicates(["_path"])
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("_content")) / F.lit(block_bytes))).cast("int").alias("_blocks"))
     many = cut(sizes.where("_blocks > 1")).toDF(*[f"_m{i}" for i in range(len(keys))], "_blocks")
     few = many.count() <= _BROADCAST_GROUPS
@@ -79,7 +78,7 @@ def pack(files: DataFrame, path: str, content: str, group: list[str], carry: lis
     names = ["path", "offset", "length", "checksum", *carry]
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_path")
+        pdf = pdf.sort_values("_path").drop_duplicates("_path")
         length = pdf["_content"].str.len().to_numpy(np.int64)
         columns = [pdf["_path"], np.cumsum(length) - length, length, pdf["_sum"], *[pdf[f"_c{i}"] for i in range(len(carry))]]
         members = [dict(zip(names, [x.item() if isinstance(x, np.generic) else x for x in row], strict=True)) for row in zip(*columns, strict=True)]
