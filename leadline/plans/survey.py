@@ -244,10 +244,12 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") * 3 % 1100).cast("double").alias("x"), (F.col("o_custkey") * 11 % 1100).cast("double").alias("y"))
 
 
-_Q = "q as (select row_number() over () as rn, o_orderkey as query_id, cast(o_orderkey * 3 % 1100 as double) as x, cast(o_custkey * 11 % 1100 as double) as y from orders)"
-_AT = """g as (select resolution, floor(tile_x / resolution) + col as gx, floor(tile_y / resolution) + row as gy, depth from c),
-  f as (select q.rn, min(g.resolution) as resolution, min_by(g.depth, g.resolution) as depth from q, (select distinct resolution as res from c) s join g on g.resolution = s.res and g.gx = floor(q.x / s.res) and g.gy = floor(q.y / s.res) group by 1)
-  select query_id, x, y, resolution, coalesce(depth, 1000000.0) as value from q left join f using (rn)"""
+_RES = ", ".join(f"({r}::double)" for r in R.RESOLUTIONS)
+_Q = "q as (select o_orderkey as query_id, cast(o_orderkey * 3 % 1100 as double) as x, cast(o_custkey * 11 % 1100 as double) as y from orders)"
+_AT = f"""g as (select resolution, floor(tile_x / resolution) + col as gx, floor(tile_y / resolution) + row as gy, depth from c),
+  a as (select query_id, x, y, res, floor(x / res) as gx, floor(y / res) as gy from q, (values {_RES}) s(res))
+  select query_id, x, y, min(g.resolution) as resolution, coalesce(min_by(g.depth, g.resolution), 1000000.0) as value
+  from a left join g on g.resolution = a.res and g.gx = a.gx and g.gy = a.gy group by query_id, x, y"""
 
 
 @_add("lookup_xy_single_res", f"{_SR}, {_Q}, {_AT}")
