@@ -91,10 +91,10 @@ def with_resolution(tiled: DataFrame, resolutions: DataFrame, prefix: str = "til
     """Each point with its tile's resolution.
 
     Whether the tiles are sent to all executors or shuffled is left to Spark,
-    which knows their size.
+    which knows their size.  Tiles without any depth have none and are left out.
     """
     keys = [f"{prefix}_x", f"{prefix}_y"]
-    return tiled.join(resolutions.select(*keys, "resolution"), keys)
+    return tiled.join(resolutions.select(*keys, "resolution").where("resolution is not null"), keys)
 
 
 def single_resolution(points: DataFrame, method: str = "mean", resolution: float | None = None, mode: str = "depth", tile_size: float = 1024.0, single: bool = False, parameters: dict | None = None) -> DataFrame:

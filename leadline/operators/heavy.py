@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def heavy_keys(df: DataFrame, keys: dict[str, Column], share: float) -> DataFrame:
     """Keys that hold at least ``share`` of all rows: ``(key_kind, key_name, n_rows)``.
@@ -44,7 +46,7 @@ def per_key(df: DataFrame, key: Column, aggregates: list[Column], share: float)
     key.  An empty table gives an empty result.
     """
     keyed = df.withColumn("_key", key.cast("string")).where("_key is not null")
-    heavy = heavy_keys(keyed, {"key": F.col("_key")}, share).select(F.col("key_name").alias("_key"))
+    heavy = cut(heavy_keys(keyed, {"key": F.col("_key")}, share).select(F.col("key_name").alias("_key")))  # at most 1 / share keys
     heavy_rows = keyed.join(F.broadcast(heavy), "_key", "left_semi")
     rest = keyed.join(F.broadcast(heavy), "_key", "left_anti")
     done = lambda x, is_heavy: x.groupBy("_key").agg(*aggregates).withColumn("is_heavy", F.lit(is_heavy))

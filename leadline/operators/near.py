@@ -200,7 +200,7 @@ def _tree(points: DataFrame, leaf_rows: int, least: float, sample_rows: int) ->
     if not n:
         return Quadtree.build(np.zeros(0), np.zeros(0), (0.0, 0.0, 1.0, 1.0), 1, 1.0)
     share = min(1.0, sample_rows / n)
-    sample = points.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("_x", "_y").toPandas()
+    sample = points.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 50)) < F.lit(int(share * (1 << 50)))).select("_x", "_y").toPandas()
     return Quadtree.build(sample["_x"].to_numpy(), sample["_y"].to_numpy(), (x0, y0, x1, y1), max(1, int(leaf_rows * share)), least)
 
 
