@@ -49,7 +49,7 @@ def _take(rows: DataFrame, open_: DataFrame) -> DataFrame:
     """
     range_ = rows.groupBy("source").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
     rows = rows.join(F.broadcast(open_.join(range_, "source")), "source")  # a row a target source
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / _BINS, F.lit(1e-12))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / _BINS, F.lit(1e-15))
     rows = rows.withColumn("_bin", F.least(F.floor((F.col("_rank") - F.col("_lo")) / width), F.lit(_BINS - 1)).cast("int")).drop("_lo", "_hi")
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -89,7 +89,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     odds = lambda p: p / (1 - p)
     # A document whose chance is nought comes last, but comes, should the quota be open still.
     chance = F.least(F.greatest(F.col("_chance"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    asked = asked.withColumn("_rank", F.log(odds(u)) - F.log(odds(chance))).withColumn("_room", F.col("max_repeats") - F.col("_whole"))
+    # Odds over odds, brought into (0, 1) so that bins of it hold about equally many.
+    relative = odds(u) / odds(chance)
+    asked = asked.withColumn("_rank", relative / (1 + relative)).withColumn("_room", F.col("max_repeats") - F.col("_whole"))
     asked = asked.select("_key", "source", "size", "_whole", "_rank", "_room")
     asked = cut(asked)
     certain = asked.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
