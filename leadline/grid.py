@@ -579,10 +579,14 @@ class Grid:
             return X.write_csv(rows, base, wanted)
         names = [n for n in (self.depth_key, "vertical_uncertainty", "total_uncertainty") if n in self.layer_names]
         up = True if kind == "bag" else z_positive_up
-        title = lambda n: "Elevation" if n == "depth" and up else n.replace("_", " ").title()
-        ext, driver = ("tif", "GTiff") if kind == "geotiff" else ("bag", "BAG")
+        title = lambda n: "Elevation" if n == "depth" and up else X.BANDS[n]
+        ext, driver, options = ("tif", "GTiff", ()) if kind == "geotiff" else ("bag", "BAG", X.bag_options(**metadata))
         out = []
         for r in wanted:
             for i, (geo, _, data) in enumerate(self.get_chunks_of_tiles(r, names, np.nan, up, override_maximum_chunk_dimension), 1):
-                out.append(X.write_raster(f"{base}_{r}_{i}.{ext}", {title(n): a for n, a in data.items()}, geo, self.epsg, driver, X.bag_options(**metadata) if kind == "bag" else ()))
+                bands = {title(n): a for n, a in data.items()}
+                path = X.write_raster(f"{base}_{r}_{i}.{ext}", bands, geo, self.epsg, driver, options)
+                if kind == "bag":
+                    X.finish_bag(path, bands, self.min_time, self.max_time, self.epsg)
+                out.append(path)
         return out

@@ -36,25 +36,48 @@ def write_csv(rows: DataFrame, base: str, resolutions: list[float]) -> list[str]
     return out
 
 
+#: Names of raster bands.
+BANDS = {"depth": "Depth", "intensity": "Intensity", "density": "Density", "vertical_uncertainty": "Uncertainty", "total_uncertainty": "Uncertainty", "horizontal_uncertainty": "Horizontal Uncertainty"}
+
+#: What a BAG's metadata says where nothing is given.
+BAG_DEFAULTS = {
+    "individual_name": "unknown", "organisation_name": "unknown", "position_name": "unknown", "date": None, "vert_wkt": 'VERT_CS["unknown", VERT_DATUM["unknown", 2000]]',
+    "abstract": "", "process_step_description": "Generated by GDAL", "datetime": None, "restriction_code": "otherRestrictions", "other_constraints": "unknown", "classification": "unclassified", "security_user_note": "none",
+}
+
+#: Namespaces of a BAG's metadata, and the path to its time period.
+_NS = {"gmi": "http://www.isotc211.org/2005/gmi", "gmd": "http://www.isotc211.org/2005/gmd", "gml": "http://www.opengis.net/gml/3.2", "xsi": "http://www.w3.org/2001/XMLSchema-instance", "gco": "http://www.isotc211.org/2005/gco", "xlink": "http://www.w3.org/1999/xlink", "bag": "http://www.opennavsurf.org/schema/bag"}
+_TIME_PATH = ("gmd:identificationInfo", "bag:BAG_DataIdentification", "gmd:extent", "gmd:EX_Extent", "gmd:temporalElement", "gmd:EX_TemporalExtent", "gmd:extent", "gml:TimePeriod")
+
+
 def _gdal():
     try:
-        from osgeo import gdal, osr  # noqa: F401
+        from osgeo import gdal, osr
 
         return gdal, osr
     except ImportError as e:
         raise RuntimeError("writing rasters needs GDAL's Python bindings") from e
 
 
-def write_raster(path: str, bands: dict[str, np.ndarray], geotransform: list[float], epsg: int | None, driver: str = "GTiff", options: tuple[str, ...] = ()) -> str:
+def spatial_reference(crs):
+    """GDAL's spatial reference of an EPSG number, a WKT or a proj4 string."""
+    _, osr = _gdal()
+    out = osr.SpatialReference()
+    text = str(crs).strip()
+    failed = out.ImportFromEPSG(int(text)) if text.isdigit() else out.ImportFromProj4(text) if text.startswith("+") else out.ImportFromWkt(text)
+    if failed:
+        raise ValueError(f"no coordinate system in {crs!r}")
+    return out
+
+
+def write_raster(path: str, bands: dict[str, np.ndarray], geotransform: list[float], crs=None, driver: str = "GTiff", options: tuple[str, ...] = ()) -> str:
     """One raster of float bands, north up, with ``NODATA`` where empty; needs GDAL."""
-    gdal, osr = _gdal()
+    gdal, _ = _gdal()
     rows, cols = next(iter(bands.values())).shape
     memory = gdal.GetDriverByName("MEM").Create("", cols, rows, len(bands), gdal.GDT_Float32)
     memory.SetGeoTransform(geotransform)
-    if epsg:
-        crs = osr.SpatialReference()
-        crs.ImportFromEPSG(int(epsg))
-        memory.SetProjection(crs.ExportToWkt())
+    if crs:
+        memory.SetProjection(spatial_reference(crs).ExportToWkt())
     for i, (name, data) in enumerate(bands.items(), 1):
         band = memory.GetRasterBand(i)
         band.SetDescription(name)
@@ -65,8 +88,62 @@ def write_raster(path: str, bands: dict[str, np.ndarray], geotransform: list[flo
 
 
 def bag_options(**given: str) -> tuple[str, ...]:
-    """Creation options of a BAG from its metadata, those not given left out."""
-    return tuple(f"VAR_{k.upper()}={v}" for k, v in given.items() if v is not None)
+    """Creation options of a BAG from its metadata; dates default to now, a depth datum is turned to heights."""
+    unknown = set(given) - set(BAG_DEFAULTS)
+    if unknown:
+        raise ValueError(f"a BAG has no {sorted(unknown)}")
+    now = datetime.now(UTC)
+    values = BAG_DEFAULTS | {"date": f"{now:%Y-%m-%d}", "datetime": f"{now:%Y-%m-%dT%H:%M:%S}"} | given
+    values["vert_wkt"] = values["vert_wkt"].replace('"depth (D)",down', '"gravity-related height (H)",up').replace('"Depth",DOWN', '"Gravity-related height",UP')
+    return tuple(f"VAR_{k.upper()}={v}" for k, v in values.items())
+
+
+def with_time_period(metadata_xml: str, begin: str, end: str) -> str:
+    """A BAG's metadata with its time period set, the elements on the way added where they lack."""
+    for prefix, uri in _NS.items():
+        ElementTree.register_namespace(prefix, uri)
+    full = lambda tag: "{%s}%s" % (_NS[tag.split(":")[0]], tag.split(":")[1])  # noqa: E731, UP031
+    at = root = ElementTree.fromstring(metadata_xml)
+
+    def below(parent, tag):
+        found = parent.find(full(tag))
+        return ElementTree.SubElement(parent, full(tag)) if found is None else found
+
+    for tag in _TIME_PATH:
+        at = below(at, tag)
+    if full("gml:id") not in at.attrib:
+        at.attrib |= {full("gml:id"): "temporal-extent-1", full("xsi:type"): "gml:TimePeriodType"}
+    below(at, "gml:beginPosition").text, below(at, "gml:endPosition").text = begin, end
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def registration_sidecar(wkt: str) -> str:
+    """The registration file that some programs want beside a BAG."""
+    top = ElementTree.Element("caris_registration", version="4.0", generation="USER")
+    ElementTree.SubElement(ElementTree.SubElement(top, "coordinate_system"), "wkt").text = wkt
+    ElementTree.indent(top)
+    return ElementTree.tostring(top, encoding="unicode", xml_declaration=True)
+
+
+def finish_bag(path: str, bands: dict[str, np.ndarray], begin: str | None, end: str | None, crs=None) -> None:
+    """Put right what the BAG driver leaves: ranges without the empty value, the time period, the sidecar; needs h5py for the first two."""
+    try:
+        import h5py
+    except ImportError:
+        h5py = None
+    if h5py is not None:
+        with h5py.File(path, "r+") as f:
+            root = f["BAG_root"]
+            for band, group in (("Elevation", "elevation"), ("Uncertainty", "uncertainty")):
+                if band in bands and not np.isnan(bands[band]).all():
+                    root[group].attrs[f"Maximum {band} Value"], root[group].attrs[f"Minimum {band} Value"] = np.float32(np.nanmax(bands[band])), np.float32(np.nanmin(bands[band]))
+            if begin and end:
+                text = with_time_period(root["metadata"][:].tobytes().decode().replace("\x00", ""), begin, end)
+                del root["metadata"]
+                root.create_dataset("metadata", maxshape=(None,), data=np.array(list(text), dtype="S1"))
+    if crs:
+        with open(f"{os.path.splitext(path)[0]}.bag_rxl", "w", encoding="utf-8") as f:
+            f.write(registration_sidecar(spatial_reference(crs).ExportToWkt()))
 
 
 def vertical_wkt(metadata_xml: str) -> str:
