@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import family, tile_name, utc_text
+from ..functions.names import family, tile_name, utc_seconds, utc_text
+from ..functions.rounding import power_of_two, to_mm
 from ..operators import cells as C
 from ..operators import chunks, layers, lookup, neighbors, stats
 from ..operators import resolution as R
 from ..operators.cube import CUBE
-from ..operators.keys import aligned_extents, with_cells, with_tiles
+from ..operators.keys import aligned_extents, flat_index, row_col, with_cells, with_tiles
 from ..operators.slopes import plane_slopes
 from ..sources.tables import table
 
@@ -462,6 +463,65 @@ def trial_cell_counts(spark, folder):
     return stats.trial_counts(with_tiles(points(spark, folder), LEAF), 16.0)
 
 
+@_add("grid_mean_depth", f"with {_P}, k as (select max(container) as c from p) select container, round_even(avg(z), 3) as mean_depth from p where container = (select c from k) group by 1")
+def grid_mean_depth(spark, folder):
+    """Mean depth of the batch added last."""
+    every = points(spark, folder)
+    newest = every.agg(F.max("container").alias("container"))
+    return every.join(F.broadcast(newest), "container").groupBy("container").agg(to_mm(F.avg("z")).alias("mean_depth"))  # one row
+
+
+@_add("resolutions", f"{_VR} select distinct resolution from c")
+def resolutions(spark, folder):
+    """The resolutions in use."""
+    return _vr(spark, folder).select("resolution").distinct()
+
+
+@_add("power_of_two_sizes", """select grid_name, tile_size, subtile_size, coalesce(tile_size > 0 and pow(2.0, round(log2(tile_size))) = tile_size, false) as tile_ok,
+  coalesce(subtile_size > 0 and pow(2.0, round(log2(subtile_size))) = subtile_size, false) as subtile_ok from grids""")
+def power_of_two_sizes(spark, folder):
+    """Whether the sizes of each grid are powers of two."""
+    return table(spark, folder, "grids").select("grid_name", "tile_size", "subtile_size", power_of_two(F.col("tile_size")).alias("tile_ok"), power_of_two(F.col("subtile_size")).alias("subtile_ok"))
+
+
+@_add("container_times", "select container, strftime(make_timestamp(min_time * 1000000), '%Y-%m-%dT%H:%M:%S') as min_time, strftime(make_timestamp(max_time * 1000000), '%Y-%m-%dT%H:%M:%S') as max_time, true as round_trip from containers")
+def container_times(spark, folder):
+    """Times as text, and whether they come back as the seconds they were."""
+    told = table(spark, folder, "containers").withColumn("_text", utc_text(F.col("min_time")))
+    same = F.coalesce(utc_seconds(F.col("_text")) == F.col("min_time"), F.lit(True))
+    return told.select("container", F.col("_text").alias("min_time"), utc_text(F.col("max_time")).alias("max_time"), same.alias("round_trip"))
+
+
+_SOUNDINGS = "s as (select distinct point_id, x, y, z, tile_name, cell_index from points where x is not null and y is not null)"
+
+
+def _soundings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "points").select("point_id", "x", "y", "z", "tile_name", "cell_index").where("x is not null and y is not null").distinct()
+
+
+@_add("soundings_cell_index", f"""with {_SOUNDINGS}, r as (select s.*, t.tile_x, t.tile_y, t.resolution from s join tiles t using (tile_name)),
+  k as (select *, cast(floor((y - tile_y) / resolution) as int) as row, cast(floor((x - tile_x) / resolution) as int) as col, cast(1024.0 / resolution as int) as n from r)
+  select tile_name, row, col, row * n + col as flat_index, count(*) as n_soundings, count(*) filter (where cell_index <> -1 and cell_index <> row * n + col) as n_other from k group by all""")
+def soundings_cell_index(spark, folder):
+    """Cell of each sounding at its tile's resolution, its flat index, and how many soundings were stored with another."""
+    tiles = table(spark, folder, "tiles").select("tile_name", "tile_x", "tile_y", "resolution")
+    keyed = with_cells(_soundings(spark, folder).join(tiles, "tile_name"))
+    flat = keyed.withColumn("flat_index", flat_index(F.col("row"), F.col("col"), TILE, F.col("resolution")))
+    back = flat.withColumn("_b", row_col(F.col("flat_index"), F.ceil(F.lit(TILE) / F.col("resolution"))))
+    other = F.count(F.when((F.col("cell_index") != -1) & (F.col("cell_index") != F.col("flat_index")), 1))
+    return back.groupBy("tile_name", F.col("_b.row").alias("row"), F.col("_b.col").alias("col"), "flat_index").agg(F.count("*").alias("n_soundings"), other.alias("n_other"))
+
+
+@_add("soundings_shoalest", f"""with {_SOUNDINGS}, r as (select s.*, t.tile_x, t.tile_y, t.resolution from s join tiles t using (tile_name) where isfinite(z))
+  select {_CELL}, min(z) as depth, count(*) as density from r group by all""")
+def soundings_shoalest(spark, folder):
+    """Shoalest sounding of each cell, at the resolution stored with the tile."""
+    finite = F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < F.lit(float("inf")))
+    tiles = table(spark, folder, "tiles").select("tile_name", "tile_x", "tile_y", "resolution")
+    keyed = with_cells(_soundings(spark, folder).where(finite).join(tiles, "tile_name"))
+    return keyed.groupBy(*layers.KEYS).agg(F.min("z").alias("depth"), F.count("*").alias("density"))
+
+
 @_add("cube_grid")
 def cube_grid(spark, folder):
     """Depth, uncertainty and hypotheses of each node."""
