@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_ITEMS = 600
+#: Items of one task.  Rows are tiny and the work is not, so the number of tasks is not left to their bytes.
+TASK_ITEMS = 6_000
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -119,7 +121,9 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, batch_items: int = B
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     items = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.greatest(F.coalesce(F.max(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_size"))
-    batches = max(1, -(-items.count() // batch_items))
+    n = items.count()
+    batches = max(1, -(-n // batch_items))
+    tasks = min(batches, max(1, -(-n // TASK_ITEMS)))
     kind = dict(items.dtypes)["_key"]
 
     def windows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,5 +144,5 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, batch_items: int = B
         })
         return out.assign(window=[f"{batch}-{x}" for x in out["window"]])
 
-    packed = items.withColumn("_batch", F.pmod(F.xxhash64("_key"), F.lit(batches))).groupBy("_batch").applyInPandas(windows, f"key {kind}, piece int, size bigint, start bigint, window string")
+    packed = items.withColumn("_batch", F.pmod(F.xxhash64("_key"), F.lit(batches))).repartition(tasks, "_batch").groupBy("_batch").applyInPandas(windows, f"key {kind}, piece int, size bigint, start bigint, window string")
     return packed.select(F.col("key").alias(key), "piece", F.col("size").alias(size), "start", "window")

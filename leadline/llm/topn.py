@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path
 
-FILE_ROWS = 250_000
-#: A row group ends after so many bytes in memory; small enough to be worth skipping, large enough to be worth reading.
-ROW_GROUP_BYTES = 1 << 19
+#: Rows of a file: the least, the most, and the number of files from which they grow.
+FILE_ROWS, FILE_ROWS_MOST, FILES = 250_000, 5_000_000, 10_000
+#: A row group ends after so many bytes in memory for each row of a file; small enough to be worth skipping, large enough to be worth reading.
+ROW_GROUP_BYTES_A_ROW = 2
+#: Tasks that read; tiny descriptions of row groups say nothing about the work, so their number is set.
+TASKS_MOST = 20_000
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class Clustered:
     key: str
 
 
-def cluster(df: DataFrame, group: list[str], score: str, key: str, file_rows: int = FILE_ROWS) -> Clustered:
+def cluster(df: DataFrame, group: list[str], score: str, key: str, file_rows: int | None = None) -> Clustered:
     """Write ``(group, score, key)`` of ``df`` in clustered form; rows that repeat all of them are written once.
 
     Rows with a null group column, key or score and rows with a NaN score take
@@ -47,11 +50,13 @@ def cluster(df: DataFrame, group: list[str], score: str, key: str, file_rows: in
     order = [*group, score, key]
     rows = df.select(*order).dropna(subset=order)
     rows = rows.where(~F.isnan(F.col(score).cast("double")))
-    files = max(1, -(-rows.count() // file_rows))
+    n = rows.count()
+    file_rows = file_rows or min(max(FILE_ROWS, n // FILES), FILE_ROWS_MOST)
+    files = max(1, -(-n // file_rows))
     location = new_path(spark, "clustered")
     # Range partitions keep equal rows together, so repeats fall out without a shuffle of their own.
     spread = rows.repartitionByRange(files, *order).dropDuplicates(order).sortWithinPartitions(*order)
-    spread.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "snappy").parquet(location)
+    spread.write.option("parquet.block.size", max(1 << 19, ROW_GROUP_BYTES_A_ROW * file_rows)).option("compression", "snappy").parquet(location)
     return Clustered(spark, location, tuple(group), score, key)
 
 
@@ -92,7 +97,7 @@ def row_groups(table: Clustered) -> DataFrame:
 
     schema = "file string, row_group int, n bigint, single boolean, best double, worst double, " + ", ".join(f"`{c}` {kinds[c]}" for c in names)
     files = _files(table)
-    return files.repartition(max(1, files.count()), "file").mapInPandas(footers, schema)
+    return files.repartition(min(max(1, files.count()), TASKS_MOST), "file").mapInPandas(footers, schema)
 
 
 def to_read(table: Clustered, n: int) -> DataFrame:
@@ -124,29 +129,32 @@ def top_n(table: Clustered, n: int) -> DataFrame:
     order = [*group, score, key]
     kinds = dict(table.spark.read.parquet(table.location).dtypes)
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["best", "row_group"])
-        source, parts, nth = _open(pdf["file"].iloc[0]), [], {}
-        meta = source.metadata
-        for i, best, single in zip(pdf["row_group"], pdf["best"], pdf["single"], strict=True):
-            name = None
-            if single:
-                stats = {meta.row_group(i).column(j).path_in_schema: meta.row_group(i).column(j).statistics for j in range(meta.num_columns)}
-                name = tuple(stats[c].min for c in group)
-                if name in nth and best > nth[name]:
-                    continue
-            rows = source.read_row_group(i, columns=order)
-            codes = [c.combine_chunks().dictionary_encode() if str(c.type) == "string" else c for c in (rows.column(g) for g in group)]
-            keys = [np.asarray(c.indices) if hasattr(c, "indices") else c.to_numpy() for c in codes]
-            new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)] if rows.num_rows else np.zeros(0, bool)
-            begin = np.flatnonzero(new)
-            place = np.arange(rows.num_rows) - np.repeat(begin, np.diff(np.r_[begin, rows.num_rows]))
-            some = np.flatnonzero(place < n)  # rows of a file are in order of group, score and key
-            parts.append(rows.take(some).to_pandas())
-            if single and rows.num_rows >= n:
-                nth[name] = min(nth.get(name, np.inf), float(rows.column(score)[n - 1].as_py()))
-        return pd.concat(parts, ignore_index=True)[order] if parts else pd.DataFrame({c: [] for c in order})
-
-    found = to_read(table, n).groupBy("file").applyInPandas(read, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+    def read(batches):
+        path, source, nth = None, None, {}
+        for pdf in batches:
+            for file, i, best, single in zip(pdf["file"], pdf["row_group"], pdf["best"], pdf["single"], strict=True):
+                if file != path:
+                    path, source, nth = file, _open(file), {}
+                name = None
+                if single:
+                    meta = source.metadata.row_group(i)
+                    stats = {meta.column(j).path_in_schema: meta.column(j).statistics for j in range(meta.num_columns)}
+                    name = tuple(stats[c].min for c in group)
+                    if name in nth and best > nth[name]:
+                        continue
+                rows = source.read_row_group(i, columns=order)
+                columns = [rows.column(g).combine_chunks() for g in group]
+                codes = [c.dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in columns]
+                new = np.r_[True, np.any([k[1:] != k[:-1] for k in codes], axis=0)] if rows.num_rows else np.zeros(0, bool)
+                begin = np.flatnonzero(new)
+                place = np.arange(rows.num_rows) - np.repeat(begin, np.diff(np.r_[begin, rows.num_rows]))
+                # Rows of a file are in order of group, score and key.
+                yield rows.take(np.flatnonzero(place < n)).to_pandas()[order]
+                if single and rows.num_rows >= n:
+                    nth[name] = min(nth.get(name, np.inf), float(rows.column(score)[n - 1].as_py()))
+
+    wanted = cut(to_read(table, n))  # a short row for each row group
+    tasks = min(max(1, wanted.select("file").distinct().count()), TASKS_MOST)
+    found = wanted.repartition(tasks, "file").sortWithinPartitions("file", "best", "row_group").mapInPandas(read, ", ".join(f"`{c}` {kinds[c]}" for c in order))
     best = Window.partitionBy(*group).orderBy(score, key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
