@@ -22,6 +22,8 @@ from ..sources.shared import cut
 _DEPTH = 26  # levels of the quadtree; codes have two bits a level
 _FAN = 32
 _PAIRS_AT_ONCE = 1 << 16
+#: The sample that shapes the tree grows with the number of leaves up to a bound, and so do the leaves of very large tables: the tree is sent to every task.
+SAMPLE_A_LEAF, SAMPLE_MOST, LEAVES_MOST, LEAF_ROWS_MOST = 20, 2_000_000, 1_000_000, 2_000_000
 
 
 def _spread_bits(v: np.ndarray) -> np.ndarray:
@@ -199,6 +201,8 @@ def _tree(points: DataFrame, leaf_rows: int, least: float, sample_rows: int) ->
     n, x0, y0, x1, y1 = points.agg(F.count("*"), F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
     if not n:
         return Quadtree.build(np.zeros(0), np.zeros(0), (0.0, 0.0, 1.0, 1.0), 1, 1.0)
+    leaf_rows = min(max(leaf_rows, n // LEAVES_MOST), max(leaf_rows, LEAF_ROWS_MOST))
+    sample_rows = min(max(sample_rows, SAMPLE_A_LEAF * n // leaf_rows), max(sample_rows, SAMPLE_MOST))
     share = min(1.0, sample_rows / n)
     sample = points.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 50)) < F.lit(int(share * (1 << 50)))).select("_x", "_y").toPandas()
     return Quadtree.build(sample["_x"].to_numpy(), sample["_y"].to_numpy(), (x0, y0, x1, y1), max(1, int(leaf_rows * share)), least)
