@@ -32,10 +32,12 @@ def register_tile_method(name: str, function: Callable[..., DataFrame]) -> None:
 
 
 def methods() -> list[str]:
+    """Names of all methods."""
     return sorted([*_methods, *_tile_methods])
 
 
 def check_method(name: str) -> str:
+    """``name``, if there is such a method."""
     if name not in methods():
         raise ValueError(f"unknown method {name!r}; there are {methods()}")
     return name

@@ -14,6 +14,7 @@ def origin(c: Column, size: float) -> Column:
 
 
 def check_size(size: float, name: str) -> float:
+    """``size`` as a float, if it is a power of two."""
     if not is_power_of_two(size):
         raise ValueError(f"{name} must be a power of two, got {size}")
     return float(size)

@@ -50,10 +50,12 @@ def files_adding_nothing(archive: Archive) -> DataFrame:
     rarest = covered.where("_covered = n_distinct").select(*group, "key", "n_distinct", F.col("_r.id").alias("id"))
     larger = records.select(*group, "id", F.col("key").alias("other"), F.col("n_distinct").alias("_n"))
     pairs = rarest.join(larger, [*group, "id"]).where("_n > n_distinct").select("key", "n_distinct", "other")
-    mine = records.select("key", "id")
-    theirs = records.select(F.col("key").alias("other"), "id")
-    shared = pairs.join(mine, "key").join(theirs, ["other", "id"]).groupBy("key", "other", "n_distinct").agg(F.count("*").alias("_shared"))
-    inside = shared.where("_shared = n_distinct").select("key").distinct()
+    pairs = cut(pairs)
+    # The sets of the files in question, looked up in the archive, side by side.
+    asked = pairs.select("key").union(pairs.select("other")).distinct()
+    sets = archive.contents().join(asked, "key", "left_semi").select("key", decode_ids(F.col("content")).alias("_ids"))
+    mine, theirs = sets.withColumnRenamed("_ids", "_mine"), sets.toDF("other", "_theirs")
+    inside = pairs.join(mine, "key").join(theirs, "other").where(F.size(F.array_except("_mine", "_theirs")) == 0).select("key").distinct()
     return twins.unionByName(inside)
 
 

@@ -113,42 +113,50 @@ def vr_mean_auto_depth(spark, folder):
 
 @_add("sr_mean_fixed", f"{_SR} select * from c")
 def sr_mean_fixed(spark, folder):
+    """Mean depth, density and uncertainties in cells of one given size."""
     return _sr(spark, folder)
 
 
 @_add("sr_shoalest_fixed", f"with {_P}, {_tiled(TILE)}, {_FIXED}, {_cells('r', _SHOALEST)} select * from c")
 def sr_shoalest_fixed(spark, folder):
+    """The shoalest point of each cell, with its own uncertainties."""
     return _sr(spark, folder, "shoalest")
 
 
 @_add("sr_mean_depth_only", f"{_SR} select * exclude (vertical_uncertainty, horizontal_uncertainty) from c")
 def sr_mean_depth_only(spark, folder):
+    """Points without uncertainties give no uncertainty layers."""
     return C.single_resolution(points(spark, folder).select("x", "y", "z"), "mean", FIXED, tile_size=TILE)
 
 
 @_add("sr_mean_auto_depth", f"with {_P}, {_tiled(TILE)}, r as (select t.*, (select {_lookup_sql('round_even(avg(z), 3)', TILE)} from p) as resolution from t), {_cells('r')} select * from c")
 def sr_mean_auto_depth(spark, folder):
+    """One size for all cells, by the mean depth of all points."""
     return C.single_resolution(points(spark, folder), tile_size=TILE)
 
 
 @_add("vr_shoalest_auto_depth", f"with {_P}, {_tiled(LEAF)}, {_BY_LEAF}, {_cells('r', _SHOALEST)} select * from c")
 def vr_shoalest_auto_depth(spark, folder):
+    """Shoalest points in cells whose size follows the depth."""
     return _vr(spark, folder, "shoalest")
 
 
 @_add("tile_density_resolution", f"with {_P}, {_tiled(LEAF)}, {_density_sql(LEAF)} select tile_x, tile_y, resolution, filled, round(estimate, 6) as estimate from l")
 def tile_density_resolution(spark, folder):
+    """The resolution each leaf tile calls for by its density."""
     found = R.by_density(with_tiles(points(spark, folder), LEAF), LEAF)
     return found.select("tile_x", "tile_y", "resolution", F.col("full").alias("filled"), F.round("estimate", 6).alias("estimate"))
 
 
 @_add("sr_mean_auto_density", f"with {_P}, {_tiled(TILE)}, {_density_sql(TILE)}, r as (select t.*, (select max(resolution) from l) as resolution from t), {_cells('r')} select * from c")
 def sr_mean_auto_density(spark, folder):
+    """One size for all cells: the coarsest that any tile calls for by density."""
     return C.single_resolution(points(spark, folder), mode="density", tile_size=TILE)
 
 
 @_add("vr_mean_auto_density", f"with {_P}, {_tiled(LEAF)}, {_density_sql(LEAF)}, r as (select t.*, resolution from t join l using (tile_x, tile_y)), {_cells('r')} select * from c")
 def vr_mean_auto_density(spark, folder):
+    """Cells whose size follows the density of each leaf tile."""
     return _vr(spark, folder, mode="density")
 
 
@@ -170,17 +178,20 @@ def _hill_sql() -> str:
 
 @_add("tile_resolution_hillclimb", _hill_sql())
 def tile_resolution_hillclimb(spark, folder):
+    """The older density method, step by step."""
     return R.by_hill_climb(with_tiles(points(spark, folder), LEAF), LEAF)
 
 
 @_add("tile_summary", f"with {_P}, {_tiled(LEAF)} select tile_x, tile_y, printf('%.1f_%.1f', tile_x, tile_y) as tile_name, count(*) as n, cast(avg(z) as float) as mean_z from t group by 1, 2")
 def tile_summary(spark, folder):
+    """Name, number of points and mean depth of each leaf tile."""
     means = C.tile_means(with_tiles(points(spark, folder), LEAF))
     return means.select("tile_x", "tile_y", tile_name(F.col("tile_x"), F.col("tile_y")).alias("tile_name"), "n", "mean_z")
 
 
 @_add("cell_count_by_resolution", f"{_VR} select resolution, count(*) as n_cells from c group by 1")
 def cell_count_by_resolution(spark, folder):
+    """Filled cells at each resolution."""
     return stats.cell_counts(_vr(spark, folder))
 
 
@@ -189,16 +200,19 @@ _AREA = f"{_VR}, a as (select tile_x, tile_y, resolution, round_even(count(*) *
 
 @_add("coverage_area", f"{_AREA} sum(a) as square_meters from a")
 def coverage_area(spark, folder):
+    """Area of the filled cells in square meters."""
     return stats.coverage(_vr(spark, folder)).select("square_meters")
 
 
 @_add("coverage_area_nm", f"{_AREA} sum(a) / {stats.SQUARE_NM} as square_nm from a")
 def coverage_area_nm(spark, folder):
+    """The same in square nautical miles."""
     return stats.coverage(_vr(spark, folder)).select("square_nm")
 
 
 @_add("density_values", f"{_VR} select density, density / (resolution * resolution) as density_m2, depth from c")
 def density_values(spark, folder):
+    """Points in each filled cell, and per square meter, beside its depth."""
     return stats.densities(_vr(spark, folder))
 
 
@@ -210,11 +224,13 @@ def _binned_sql(value: str) -> str:
 
 @_add("density_vs_depth", _binned_sql("density"))
 def density_vs_depth(spark, folder):
+    """Mean density in 50 bins of depth."""
     return stats.mean_by_depth(stats.densities(_vr(spark, folder)), F.col("density")).withColumn("mean_value", F.round("mean_value", 6))
 
 
 @_add("density_per_m2_vs_depth", _binned_sql("density / (resolution * resolution)"))
 def density_per_m2_vs_depth(spark, folder):
+    """The same per square meter."""
     return stats.mean_by_depth(stats.densities(_vr(spark, folder)), F.col("density_m2")).withColumn("mean_value", F.round("mean_value", 6))
 
 
@@ -255,11 +271,13 @@ _AT = f"""g as (select resolution, floor(tile_x / resolution) + col as gx, floor
 
 @_add("lookup_xy_single_res", f"{_SR}, {_Q}, {_AT}")
 def lookup_xy_single_res(spark, folder):
+    """Depth at places, from cells of one size."""
     return lookup.values_at(_places(spark, folder), _sr(spark, folder), "depth", nodata=NODATA)
 
 
 @_add("lookup_xy_multi_res", f"{_VR}, {_Q}, {_AT}")
 def lookup_xy_multi_res(spark, folder):
+    """Depth at places, from the finest cell that has one."""
     return lookup.values_at(_places(spark, folder), _vr(spark, folder), "depth", nodata=NODATA)
 
 
@@ -275,11 +293,13 @@ def layer_nodata(spark, folder):
 
 @_add("layer_positive_up", f"{_VR} select tile_x, tile_y, resolution, row, col, -depth as depth from c where resolution = 8.0")
 def layer_positive_up(spark, folder):
+    """Depths at one resolution, counted upward."""
     return layers.pick(_vr(spark, folder), ["depth"], 8.0, positive_up=True)
 
 
 @_add("layer_values", f"{_VR} select vertical_uncertainty as value from c")
 def layer_values(spark, folder):
+    """All values of a layer."""
     return layers.values(_vr(spark, folder), "vertical_uncertainty")
 
 
@@ -288,6 +308,7 @@ _INDEXED = "i as (select *, cast(floor(tile_y / resolution) + row as bigint) as
 
 @_add("trim_bounds", f"{_VR}, {_INDEXED} select resolution, min(grid_row) as min_row, min(grid_col) as min_col, max(grid_row) + 1 as max_row, max(grid_col) + 1 as max_col from i group by 1")
 def trim_bounds(spark, folder):
+    """First and past-the-last row and column filled at each resolution."""
     return layers.trim_bounds(layers.with_grid_index(_vr(spark, folder), 0.0, 0.0), "depth")
 
 
@@ -298,17 +319,20 @@ _DENSE = f"""{_SR}, {_INDEXED}, b as (select min(grid_row) as r0, max(grid_row)
 
 @_add("dense_layer", f"{_DENSE} select * from s")
 def dense_layer(spark, folder):
+    """Every cell of the filled box, empty ones too."""
     return layers.filled(layers.with_grid_index(_sr(spark, folder), 0.0, 0.0), ["depth", "density"])
 
 
 @_add("surface_xyz", f"{_DENSE} select resolution, (grid_col + 0.5::double) * resolution as x, (grid_row + 0.5::double) * resolution as y, depth, density from s")
 def surface_xyz(spark, folder):
+    """The same with the centers of the cells."""
     return layers.surface(layers.with_grid_index(_sr(spark, folder), 0.0, 0.0), ["depth", "density"], 0.0, 0.0)
 
 
 @_add("csv_export_rows", f"""{_DENSE} select resolution, printf('%.3f', (grid_col + 0.5::double) * resolution) as x, printf('%.3f', (grid_row + 0.5::double) * resolution) as y,
   case when depth is null then 'nan' else printf('%.3f', -depth) end as elevation, cast(density as varchar) as density from s""")
 def csv_export_rows(spark, folder):
+    """The text rows of the CSV export."""
     return layers.csv_rows(layers.with_grid_index(_sr(spark, folder), 0.0, 0.0), ["depth", "density"], 0.0, 0.0)
 
 
@@ -325,6 +349,7 @@ def container_grid(spark, folder):
 
 @_add("container_families", "with f as (select case when len(string_split(container, '__')) = 2 then string_split(container, '__')[1] else container end as family, seq from containers) select family, min(seq) as first_seq, count(*) as n_containers from f group by 1")
 def container_families(spark, folder):
+    """Containers by what stands before the double underscore."""
     named = table(spark, folder, "containers").select(family(F.col("container")).alias("family"), "seq")
     return named.groupBy("family").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_containers"))
 
@@ -367,6 +392,7 @@ def dirty_tile_update(spark, folder):
   s as (select * from (values ('south', 0, 0.0, -{LEAF}), ('east', 1, {LEAF}, 0.0), ('north', 2, 0.0, {LEAF}), ('west', 3, -{LEAF}, 0.0)) v(side, position, dx, dy))
   select a.tile_x, a.tile_y, side, position, b.tile_x as neighbor_x, b.tile_y as neighbor_y from d a, s join d b on b.tile_x = a.tile_x + dx and b.tile_y = a.tile_y + dy""")
 def tile_neighbors(spark, folder):
+    """Tiles beside each tile."""
     return neighbors.tile_neighbors(with_tiles(points(spark, folder), LEAF), LEAF)
 
 
@@ -386,12 +412,14 @@ def halo_points(spark, folder):
 @_add("tile_boundaries", f"""with {_P}, {_tiled(LEAF)}, d as (select distinct tile_x, tile_y from t)
   select tile_x, tile_y, corner, tile_x + dx * {LEAF} as x, tile_y + dy * {LEAF} as y from d, (values (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 0, 0)) v(corner, dx, dy)""")
 def tile_boundaries(spark, folder):
+    """Outlines of the tiles."""
     return neighbors.tile_outlines(with_tiles(points(spark, folder), LEAF), LEAF)
 
 
 @_add("tile_geotransform", f"""{_VR} select distinct tile_x, tile_y, resolution, cast(cast(tile_x as float) as double) as origin_x, resolution as pixel_width, 0.0::double as skew_x,
   cast(cast(tile_y + {LEAF} as float) as double) as origin_y, 0.0::double as skew_y, -resolution as pixel_height from c""")
 def tile_geotransform(spark, folder):
+    """Geotransform of each tile's raster."""
     return neighbors.geotransforms(_vr(spark, folder), LEAF)
 
 
@@ -406,6 +434,7 @@ _CHUNKS = f"""with {_P}, {_tiled(LEAF)}, d as (select distinct tile_x, tile_y fr
 
 @_add("chunk_assignment", f"{_CHUNKS} select * from h")
 def chunk_assignment(spark, folder):
+    """The block of each tile."""
     return chunks.chunk_tiles(with_tiles(points(spark, folder), LEAF), LEAF, CHUNK)
 
 
@@ -413,6 +442,7 @@ def chunk_assignment(spark, folder):
   cast((max(tile_x) - min(tile_x) + {LEAF}) / {FIXED} as bigint) as n_cols, cast((max(tile_y) - min(tile_y) + {LEAF}) / {FIXED} as bigint) as n_rows,
   case when count(*) > 1 then greatest(max(tile_x) - min(tile_x), max(tile_y) - min(tile_y)) + {LEAF} else 0 end::double as longest from h group by 1""")
 def chunk_geotransform(spark, folder):
+    """Corner and shape of each block's raster."""
     return chunks.chunk_geotransforms(chunks.chunk_tiles(with_tiles(points(spark, folder), LEAF), LEAF, CHUNK), FIXED, LEAF)
 
 
@@ -437,11 +467,13 @@ def plane_slopes_query(spark, folder):
   case when ceil(max(x) / {TILE}) * {TILE} = max(x) then max(x) + {TILE} else ceil(max(x) / {TILE}) * {TILE} end as max_x,
   case when ceil(max(y) / {TILE}) * {TILE} = max(y) then max(y) + {TILE} else ceil(max(y) / {TILE}) * {TILE} end as max_y from p""")
 def grid_extents(spark, folder):
+    """The box of all points on tile borders."""
     return aligned_extents(points(spark, folder), TILE)
 
 
 @_add("time_extent", "select strftime(make_timestamp(min(min_time) * 1000000), '%Y-%m-%dT%H:%M:%S') as min_time, strftime(make_timestamp(max(max_time) * 1000000), '%Y-%m-%dT%H:%M:%S') as max_time from containers")
 def time_extent(spark, folder):
+    """Earliest and latest time of all containers."""
     return table(spark, folder, "containers").agg(utc_text(F.min("min_time")).alias("min_time"), utc_text(F.max("max_time")).alias("max_time"))
 
 
@@ -455,11 +487,13 @@ def backscatter_mean(spark, folder):
 @_add("layer_range", f"""{_SR} select 'depth' as layer, min(depth) as least, max(depth) as greatest from c
   union all select 'vertical_uncertainty', min(vertical_uncertainty), max(vertical_uncertainty) from c""")
 def layer_range(spark, folder):
+    """Least and greatest values, as raster headers want them."""
     return stats.layer_range(_sr(spark, folder), ["depth", "vertical_uncertainty"])
 
 
 @_add("trial_cell_counts", f"with {_P}, {_tiled(LEAF)} select tile_x, tile_y, floor(x / 16.0) * 16.0 as cell_x, floor(y / 16.0) * 16.0 as cell_y, count(*) as n from t group by all")
 def trial_cell_counts(spark, folder):
+    """Points in the cells of a resolution under trial."""
     return stats.trial_counts(with_tiles(points(spark, folder), LEAF), 16.0)
 
 

@@ -18,6 +18,7 @@ ROOTS = {"single_resolution": "single_resolution_grid", "variable_resolution_til
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file."""
     fs, at = filesystem(spark, path)
     out = fs.create(at, True)
     try:
@@ -27,15 +28,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
+    """Read a small file."""
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path."""
     fs, at = filesystem(spark, path)
     return bool(fs.exists(at))
 
 
 def has_content(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything in a folder."""
     fs, at = filesystem(spark, path)
     return bool(fs.exists(at)) and len(fs.listStatus(at)) > 0
 
