@@ -9,11 +9,14 @@ is chosen.
 
 Scale.  Blocks of a few nodes are estimated each by itself, from the soundings
 that reach them; what leaves a block is a few numbers a node.  The soundings of
-one block pass through it in order, so a block is the least unit of work.
+one block pass through it in order, a batch at a time, so a block is the least
+unit of work but not of memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -118,36 +121,39 @@ def reach(z: np.ndarray, tvu: np.ndarray, thu: np.ndarray, resolution: float, or
     return np.minimum(effect, np.maximum(CAPTURE * np.abs(z), CAPTURE_LEAST))
 
 
-def estimate(x: np.ndarray, y: np.ndarray, z: np.ndarray, tvu: np.ndarray, thu: np.ndarray, x0: float, y0: float, n_rows: int, n_cols: int, resolution: float, order: str = "order1a") -> Nodes:
-    """Estimators of a raster whose south-west corner is (x0, y0); ``tvu`` and ``thu`` are variances.
-
-    Soundings are taken in from south to north, west to east, so that the
-    result doesn't depend on how they were stored.
-    """
-    by = np.lexsort((thu, tvu, z, x, y))
-    x, y, z, tvu, thu = (a[by] for a in (x, y, z, tvu, thu))
-    nodes = Nodes(n_rows * n_cols)
-    r = reach(z, tvu, thu, resolution, order)
-    low = lambda v, o: np.ceil((v - r - o) / resolution - 0.5).astype(np.int64)
-    high = lambda v, o: np.floor((v + r - o) / resolution - 0.5).astype(np.int64)
-    i0, i1 = np.maximum(low(y, y0), 0), np.minimum(high(y, y0), n_rows - 1)
-    j0, j1 = np.maximum(low(x, x0), 0), np.minimum(high(x, x0), n_cols - 1)
-    ni, nj = np.maximum(i1 - i0 + 1, 0), np.maximum(j1 - j0 + 1, 0)
-    pairs = ni * nj
-    # In pieces, so that soundings that reach many nodes need no more memory.
-    piece = np.cumsum(pairs) // 2_000_000
-    for p in np.unique(piece):
-        at = np.flatnonzero((piece == p) & (pairs > 0))
-        s = np.repeat(at, pairs[at])
-        k = np.arange(len(s)) - np.repeat(np.cumsum(pairs[at]) - pairs[at], pairs[at])
-        i, j = i0[s] + k // nj[s], j0[s] + k % nj[s]
-        far = np.hypot(x[s] - x0 - (j + 0.5) * resolution, y[s] - y0 - (i + 0.5) * resolution)
-        near = far < r[s]
-        s, far = s[near], far[near]
-        v = tvu[s] * (1 + ((far + CONFIDENCE * np.sqrt(thu[s])) / resolution) ** 2)
-        nodes.feed(i[near] * n_cols + j[near], z[s], v)
-    nodes.flush()
-    return nodes
+class Raster:
+    """The estimators of a raster whose south-west corner is (x0, y0); ``tvu`` and ``thu`` are variances."""
+
+    def __init__(self, x0: float, y0: float, n_rows: int, n_cols: int, resolution: float, order: str = "order1a"):
+        self.x0, self.y0, self.n_rows, self.n_cols, self.resolution, self.order = x0, y0, n_rows, n_cols, resolution, order
+        self.nodes = Nodes(n_rows * n_cols)
+
+    def add(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, tvu: np.ndarray, thu: np.ndarray) -> None:
+        """Take in soundings in the order given."""
+        res = self.resolution
+        r = reach(z, tvu, thu, res, self.order)
+        low = lambda v, o: np.ceil((v - r - o) / res - 0.5).astype(np.int64)
+        high = lambda v, o: np.floor((v + r - o) / res - 0.5).astype(np.int64)
+        i0, i1 = np.maximum(low(y, self.y0), 0), np.minimum(high(y, self.y0), self.n_rows - 1)
+        j0, j1 = np.maximum(low(x, self.x0), 0), np.minimum(high(x, self.x0), self.n_cols - 1)
+        ni, nj = np.maximum(i1 - i0 + 1, 0), np.maximum(j1 - j0 + 1, 0)
+        pairs = ni * nj
+        # In pieces, so that soundings that reach many nodes need no more memory.
+        piece = np.cumsum(pairs) // 2_000_000
+        for p in np.unique(piece):
+            at = np.flatnonzero((piece == p) & (pairs > 0))
+            s = np.repeat(at, pairs[at])
+            k = np.arange(len(s)) - np.repeat(np.cumsum(pairs[at]) - pairs[at], pairs[at])
+            i, j = i0[s] + k // nj[s], j0[s] + k % nj[s]
+            far = np.hypot(x[s] - self.x0 - (j + 0.5) * res, y[s] - self.y0 - (i + 0.5) * res)
+            near = far < r[s]
+            s, far = s[near], far[near]
+            v = tvu[s] * (1 + ((far + CONFIDENCE * np.sqrt(thu[s])) / res) ** 2)
+            self.nodes.feed(i[near] * self.n_cols + j[near], z[s], v)
+
+    def finish(self) -> Nodes:
+        self.nodes.flush()
+        return self.nodes
 
 
 def hypotheses(nodes: Nodes) -> pd.DataFrame:
@@ -224,20 +230,28 @@ def cube_cells(keyed: DataFrame, leaf: float, prefix: str = "tile", parameters:
     span = lambda c, o: F.when(first_node(c, o) <= last_node(c, o), F.sequence(F.floor(first_node(c, o) / BLOCK).cast("int"), F.floor(last_node(c, o) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     blocks = every.withColumn("_bi", F.explode(span("y", ty))).withColumn("_bj", F.explode(span("x", tx)))
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf.iloc[0]
-        n = int(np.ceil(leaf / f["resolution"]))
-        i, j, step = int(f["_bi"]) * BLOCK, int(f["_bj"]) * BLOCK, f["resolution"]
-        rows, cols = min(BLOCK, n - i), min(BLOCK, n - j)
-        found = hypotheses(estimate(*(pdf[c].to_numpy(np.float64) for c in columns), f[tx] + j * step, f[ty] + i * step, rows, cols, step, order))
-        node = found.pop("node").to_numpy()
-        return found.assign(row=i + node // cols, col=j + node % cols, **{k: f[k] for k in keys})[[*keys, "row", "col", "depth", "var", "size", "spread"]]
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raster = None
+        for pdf in batches:
+            if raster is None:
+                f = pdf.iloc[0]
+                n, i, j, step = int(np.ceil(leaf / f["resolution"])), int(f["_bi"]) * BLOCK, int(f["_bj"]) * BLOCK, f["resolution"]
+                raster = Raster(f[tx] + j * step, f[ty] + i * step, min(BLOCK, n - i), min(BLOCK, n - j), step, order)
+            raster.add(*(pdf[c].to_numpy(np.float64) for c in columns))
+        if raster is not None:
+            found = hypotheses(raster.finish())
+            node = found.pop("node").to_numpy()
+            yield found.assign(row=i + node // raster.n_cols, col=j + node % raster.n_cols, **{k: f[k] for k in keys})[[*keys, "row", "col", "depth", "var", "size", "spread"]]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         return choose(pdf, method, variance).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "row", "col", "depth", "total_uncertainty", "hypothesis_count", "hypothesis_ratio"]]
 
     key_types = ", ".join(f"{k} double" for k in keys) + ", row int, col int"
-    hyp = blocks.groupBy(*keys, "_bi", "_bj").applyInPandas(block, f"{key_types}, depth double, var double, size bigint, spread double")
+    # From south to north, west to east, so that the result doesn't depend on how soundings were stored; a
+    # block's soundings pass by in batches, however many they are.
+    whole = [*keys, "_bi", "_bj"]
+    blocks = blocks.repartition(*whole).sortWithinPartitions(*whole, "y", "x", "z", "tvu", "thu")
+    hyp = blocks.groupBy(*whole).applyInPandas(block, f"{key_types}, depth double, var double, size bigint, spread double")
     # A tile's hypotheses: a few short rows a node.
     nodes = hyp.groupBy(*keys).applyInPandas(pick, f"{key_types}, depth double, total_uncertainty double, hypothesis_count bigint, hypothesis_ratio double")
     nodes = nodes.withColumns({c: to_mm(F.col(c)) for c in ("depth", "total_uncertainty", "hypothesis_ratio")})

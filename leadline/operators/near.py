@@ -10,6 +10,7 @@ kept only in the leaf that holds its midpoint, so none comes out twice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -336,9 +337,9 @@ def _near(pts: DataFrame, distance: float, leaf_rows: int, sample_rows: int, sha
     tree = _tree(pts, leaf_rows, 4 * distance, sample_rows)
     reach = distance / 2 * (1 + 1e-9) + 1e-7
     kinds = dict(pts.dtypes)
-    columns = ["_a", "_b", *(["_in"] if shared else [])]
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(batches, ignore_index=True)  # a block, which the tree keeps small
         leaf, across = pdf["_leaf"].iloc[0], pdf["_low"].iloc[0] != pdf["_high"].iloc[0]
         pdf = _distinct(pdf)
         xs, ys, ids, part = (pdf[c].to_numpy() for c in ("_x", "_y", "_id", "_part"))
@@ -350,7 +351,6 @@ def _near(pts: DataFrame, distance: float, leaf_rows: int, sample_rows: int, sha
             for r in np.unique(rid):
                 member[r] = np.zeros(len(pdf), bool)
                 member[r][owner[rid == r]] = True
-        found = []
         for a, b in RTree(xs, ys).pairs_within(xs, ys, distance):
             keep = g[a] != g[b]
             if across:
@@ -359,14 +359,14 @@ def _near(pts: DataFrame, distance: float, leaf_rows: int, sample_rows: int, sha
             keep = tree.leaf((xs[a] + xs[b]) / 2, (ys[a] + ys[b]) / 2) == leaf
             a, b = a[keep], b[keep]
             low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            # Pairs go out as they are found; there may be far more of them than points.
             if not shared:
-                found.append(pd.DataFrame({"_a": low, "_b": high}))
+                yield pd.DataFrame({"_a": low, "_b": high})
                 continue
             for r, m in member.items():
                 both = m[a] & m[b]
                 if both.any():
-                    found.append(pd.DataFrame({"_a": low[both], "_b": high[both], "_in": r}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: [] for c in columns})
+                    yield pd.DataFrame({"_a": low[both], "_b": high[both], "_in": r})
 
     schema = f"_a {kinds['_id']}, _b {kinds['_id']}" + (f", _in {kinds['_in'].removeprefix('array<').removesuffix('>')}" if shared else "")
     return _to_leaves_around(pts, tree, reach).groupBy("_leaf", "_low", "_high").applyInPandas(join, schema)

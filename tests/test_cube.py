@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadline.grid import create_grid
-from leadline.operators.cube import Nodes, choose, estimate, hypotheses
+from leadline.operators.cube import Nodes, Raster, choose, hypotheses
 
 
 def ramp(width, height):
@@ -17,7 +17,10 @@ def ramp(width, height):
 def test_kernel():
     x, y, z, tvu, thu = ramp(2, 3)
     inside = y > y.min()  # the lower border belongs to the raster below
-    found = choose(hypotheses(estimate(*(a[inside] for a in (x, y, z, tvu, thu)), 403744, 4122687, 3, 3, 1.0)).assign(row=lambda d: d["node"] // 3, col=lambda d: d["node"] % 3))
+    raster = Raster(403744, 4122687, 3, 3, 1.0)
+    for part in np.array_split(np.flatnonzero(inside), 4):
+        raster.add(*(a[part] for a in (x, y, z, tvu, thu)))
+    found = choose(hypotheses(raster.finish()).assign(row=lambda d: d["node"] // 3, col=lambda d: d["node"] % 3))
     assert np.allclose(found["depth"], [11.824, 11.928, 12.148, 15.116, 15.192, 15.379, 17.912, 17.972, 18.353], atol=1e-3)
     assert np.allclose(found["total_uncertainty"], [0.109, 0.109, 0.663, 0.116, 0.116, 0.349, 0.135, 0.136, 0.313], atol=1e-3)
     assert (found["hypothesis_count"] == 1).all() and (found["hypothesis_ratio"] == 0).all()
