@@ -127,6 +127,7 @@ def _nearest(function: np.ndarray, rest: np.ndarray, langs: list[str]) -> tuple[
 def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: list[str]) -> dict[str, np.ndarray]:
     """The statistics of each text, in arrays."""
     n_docs = len(texts)
+    place = np.int32 if sum(map(len, texts)) + n_docs < 2**31 else np.int64  # half the memory for one long text
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) for t in texts], np.int64) + 1
     doc_at = np.cumsum(size) - size
@@ -195,7 +196,8 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     rest[:, _SIGN] = count((kind == _SYMBOL) & lead)
 
     # Where the body of a line begins, behind a mark of a diff or quotation and blanks.
-    shown = np.where((kind != _BLANK), np.arange(len(data)), len(data) - 1)
+    every = np.arange(len(data), dtype=place)
+    shown = np.where(kind != _BLANK, every, place(len(data) - 1))
     nxt = np.minimum.accumulate(shown[::-1])[::-1]
     last = len(data) - 1
     go = lambda p: nxt[np.minimum(p, last)]
@@ -219,7 +221,7 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
         end += _CLASS[data[np.minimum(end, last)]] == _DIGIT
     numbered = (end > body) & np.isin(data[np.minimum(end, last)], np.frombuffer(b".)", np.uint8)) & (_CLASS[data[np.minimum(end + 1, last)]] == _BLANK)
     # A number that a wrapped sentence carried to the start of a line is no mark.
-    trimmed = np.maximum.accumulate(np.where((kind != _BLANK) & (kind != _BREAK), np.arange(len(data)), 0))
+    trimmed = np.maximum.accumulate(np.where((kind != _BLANK) & (kind != _BREAK), every, place(0)))
     tail = trimmed[np.maximum(breaks - 1, 0)]
     opened = (line_chars > 0) & ~bullet & ~numbered & (words >= 4) & (kind[tail] != _STOP)
     bullet |= numbered & ~(np.r_[False, opened[:-1]] & (line_doc == np.r_[-1, line_doc[:-1]]))
@@ -264,7 +266,7 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     chars, n_words = by_doc(line_chars), by_doc(words)
     word_chars = np.zeros(n_lines)
     if word.any():
-        character = np.r_[0, np.cumsum(lead, dtype=np.int64)]
+        character = np.r_[place(0), np.cumsum(lead, dtype=place)]
         word_chars = np.bincount(tok_line[word], weights=(character[stop] - character[start])[word], minlength=n_lines)
     f_doc = np.stack([by_doc(function[:, i]) for i in range(len(langs))], axis=1)
     rest_doc = np.stack([by_doc(rest[:, i]) for i in range(9)], axis=1)

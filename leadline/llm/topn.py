@@ -64,7 +64,9 @@ def _open(path: str):
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
-    where, at = fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
+    # Spark's names of paths, as Arrow knows them.
+    path = path.replace("s3a://", "s3://", 1).replace("file:///", "file:/", 1).replace("file:/", "file:///", 1)
+    where, at = fs.FileSystem.from_uri(path)
     return pq.ParquetFile(where.open_input_file(at))
 
 
