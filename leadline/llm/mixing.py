@@ -16,6 +16,8 @@ from ..sources.shared import cut
 
 #: Ranks are counted in so many bins a source before the bin that meets the quota is looked at in full.
 _BINS = 4096
+#: Up to so many target sources, what is known of each is sent to all executors: _BINS short rows a source at most.  Beyond, it is shuffled.
+_BROADCAST_SOURCES = 64
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -41,20 +43,20 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _take(rows: DataFrame, open_: DataFrame) -> DataFrame:
+def _take(rows: DataFrame, open_: DataFrame, small) -> DataFrame:
     """``(_key, source)`` of the rows in order of ``_rank`` up to ``_open`` of their source.
 
     Sizes add up by bins of the rank first, so only the bin where a source is
     full is put in order.
     """
     range_ = rows.groupBy("source").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
-    rows = rows.join(F.broadcast(open_.join(range_, "source")), "source")  # a row a target source
+    rows = rows.join(small(open_.join(range_, "source")), "source")
     width = F.greatest((F.col("_hi") - F.col("_lo")) / _BINS, F.lit(1e-15))
     rows = rows.withColumn("_bin", F.least(F.floor((F.col("_rank") - F.col("_lo")) / width), F.lit(_BINS - 1)).cast("int")).drop("_lo", "_hi")
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.withColumn("_before", F.coalesce(before, F.lit(0)))
-    rows = rows.join(F.broadcast(bins), ["source", "_bin"])  # at most _BINS short rows a target source
+    rows = rows.join(small(bins), ["source", "_bin"])
     below = rows.where("_before + _sum <= _open")
     upto = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_rank", "_key").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where("_before + _sum > _open and _before <= _open").withColumn("_upto", upto).where("_before + _upto <= _open")
@@ -79,9 +81,10 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     known = targets.groupBy("source").agg(F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats")).where("source is not null")
     rows = cut(rows)
     quotas = cut(plan(rows, known, total))  # a row a target source
-    per_source = F.broadcast(quotas.where("quota > 0").select("source", "quota", "max_repeats", "available"))
+    small = F.broadcast if quotas.count() <= _BROADCAST_SOURCES else lambda x: x
+    per_source = small(quotas.where("quota > 0").select("source", "quota", "max_repeats", "available"))
     mass = rows.groupBy("source").agg(F.sum(F.col("_w") * F.col("size")).alias("_mass"))
-    asked = rows.join(per_source, "source").join(F.broadcast(mass.join(per_source.select("source"), "source", "left_semi")), "source")
+    asked = rows.join(per_source, "source").join(small(mass.join(per_source.select("source"), "source", "left_semi")), "source")
     wish = F.least(F.col("quota") * F.col("_w") / F.col("_mass"), F.col("max_repeats").cast("double"))
     # A whole copy short of the limit by rounding only is a whole copy.
     asked = asked.withColumn("_whole", F.floor(wish + F.lit(1e-9)).cast("int")).withColumn("_chance", F.greatest(wish - F.col("_whole"), F.lit(0.0)))
@@ -97,12 +100,12 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     certain = asked.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
     open_ = quotas.join(certain, "source").select("source", (F.col("quota") - F.col("_certain")).alias("_open"))
     free = asked.where("_room > 0").select("_key", "source", "size", "_rank")
-    first = cut(_take(free, open_))
+    first = cut(_take(free, open_, small))
     # One document may be too large for what is left; the gap is filled by the next ones that fit.
     used = first.join(free, ["_key", "source"]).groupBy("source").agg(F.sum("size").alias("_used"))
     gap = cut(open_.join(used, "source", "left").select("source", (F.col("_open") - F.coalesce("_used", F.lit(0))).alias("_open")))
-    fitting = free.join(first, ["_key", "source"], "left_anti").join(F.broadcast(gap), "source").where("size <= _open").drop("_open")
-    extra = first.unionByName(_take(fitting, gap)).withColumn("_more", F.lit(1))
+    fitting = free.join(first, ["_key", "source"], "left_anti").join(small(gap), "source").where("size <= _open").drop("_open")
+    extra = first.unionByName(_take(fitting, gap, small)).withColumn("_more", F.lit(1))
     chosen = asked.join(extra, ["_key", "source"], "left").select("_key", "source", "size", (F.col("_whole") + F.coalesce("_more", F.lit(0))).alias("copies")).where("copies > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("selected"), F.max("copies").alias("most_copies"))
     all_ = got.agg(F.sum("selected").alias("_all"))
