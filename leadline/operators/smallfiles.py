@@ -40,16 +40,20 @@ def files_adding_nothing(archive: Archive) -> DataFrame:
     """
     group = list(archive.group)
     index = archive.index().where("n_distinct > 0").select(*group, "key", "n_distinct", "set_checksum").dropna(subset=group)
-    keep = cut(index.groupBy(*group, "set_checksum").agg(F.min("key").alias("key"), F.first("n_distinct").alias("n_distinct")))
-    twins = index.select(*group, "set_checksum", "key").join(keep.select(*group, "set_checksum", F.col("key").alias("_least")), [*group, "set_checksum"]).where("key > _least").select("key")
-
-    records = cut(_records(archive).dropna(subset=group).join(keep.select("key"), "key", "left_semi").select(*group, "key", "n_distinct", "id"))
+    # A group goes by its least key from here on: one number instead of its columns with every record.
+    of = index.groupBy(*group).agg(F.min("key").alias("of"))
+    files = cut(index.join(of, group).select("of", "key", "n_distinct", "set_checksum"))
+    keep = cut(files.groupBy("of", "set_checksum").agg(F.min("key").alias("key"), F.first("n_distinct").alias("n_distinct")))
+    twins = files.select("of", "set_checksum", "key").join(keep.select("of", "set_checksum", F.col("key").alias("_least")), ["of", "set_checksum"]).where("key > _least").select("key")
+
+    contents = archive.contents().select("key", "content").join(keep.select("key", "of", "n_distinct"), "key")
+    records = cut(contents.select("of", "key", "n_distinct", F.explode(F.array_distinct(decode_ids(F.col("content")))).alias("id")))
     # A file can only be part of another if others hold each of its records.
-    holders = records.groupBy(*group, "id").agg(F.count("*").alias("_holders")).where("_holders > 1")
-    covered = records.join(holders, [*group, "id"]).groupBy(*group, "key", "n_distinct").agg(F.count("*").alias("_covered"), F.min(F.struct("_holders", "id")).alias("_r"))
-    rarest = covered.where("_covered = n_distinct").select(*group, "key", "n_distinct", F.col("_r.id").alias("id"))
-    larger = records.select(*group, "id", F.col("key").alias("other"), F.col("n_distinct").alias("_n"))
-    pairs = rarest.join(larger, [*group, "id"]).where("_n > n_distinct").select("key", "n_distinct", "other")
+    holders = records.groupBy("of", "id").agg(F.count("*").alias("_holders")).where("_holders > 1")
+    covered = records.join(holders, ["of", "id"]).groupBy("of", "key", "n_distinct").agg(F.count("*").alias("_covered"), F.min(F.struct("_holders", "id")).alias("_r"))
+    rarest = covered.where("_covered = n_distinct").select("of", "key", "n_distinct", F.col("_r.id").alias("id"))
+    larger = records.select("of", "id", F.col("key").alias("other"), F.col("n_distinct").alias("_n"))
+    pairs = rarest.join(larger, ["of", "id"]).where("_n > n_distinct").select("key", "other")
     pairs = cut(pairs)
     # The sets of the files in question, looked up in the archive, side by side.
     asked = pairs.select("key").union(pairs.select("other")).distinct()
