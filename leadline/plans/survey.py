@@ -558,5 +558,5 @@ def soundings_shoalest(spark, folder):
 
 @_add("cube_grid")
 def cube_grid(spark, folder):
-    """Depth, uncertainty and hypotheses of each node."""
-    return C.variable_resolution(points(spark, folder), CUBE, resolution=32.0, leaf=LEAF)
+    """Depth, uncertainty and hypotheses of each node, at the resolution that goes with the depth of each leaf tile."""
+    return _vr(spark, folder, CUBE)

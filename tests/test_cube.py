@@ -67,3 +67,16 @@ def test_few_soundings_and_blocks(spark):
     got = C.variable_resolution(spark.createDataFrame(pdf).withColumn("container", F.lit("a")), "cube", resolution=4.0, leaf=128.0)
     r = got.agg(F.sum("density"), F.min("depth"), F.max("depth"), F.count("depth")).first()
     assert r[0] == n and 39.5 < r[1] <= r[2] < 40.5 and r[3] > 2000
+
+
+def test_query_goes_by_depth(spark, data):
+    from leadline.plans import survey
+
+    keys = ["tile_x", "tile_y", "resolution"]
+    cells = survey.cube_grid(spark, data).cache()
+    tiles = lambda df: {tuple(r) for r in df.select(*keys).distinct().collect()}
+    assert tiles(cells) == tiles(survey.vr_mean_auto_depth(spark, data))
+    # Every sounding is counted, at the same cells as those of the mean.
+    own = lambda df: {tuple(r) for r in df.where("density > 0").select(*keys, "row", "col", "density").collect()}
+    assert own(cells) == own(survey.vr_mean_auto_depth(spark, data))
+    cells.unpersist()
