@@ -144,24 +144,51 @@ class RTree:
         hit = (x[p] <= boxes[q, 2]) & (x[p] >= boxes[q, 0]) & (y[p] <= boxes[q, 3]) & (y[p] >= boxes[q, 1])
         return q[hit], p[hit]
 
-    def pairs_within(self, x: np.ndarray, y: np.ndarray, distance: float):
-        """Yield arrays (a, b) of distinct points within ``distance``, each pair once; the tree is joined with itself."""
+    def counts_within(self, x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
+        """How many others lie within ``distance`` of each point.
+
+        Two nodes that lie wholly within the distance of each other count at
+        once, so a crowded spot costs its edges, not all its pairs.
+        """
+        step, count = np.zeros(self.n + 1, np.int64), np.zeros(self.n, np.int64)
         if self.n < 2:
-            return
+            return count
         a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, 0, -1):
-            ia, ca = self._children(level, a)
-            ib, cb = self._children(level, b)
-            # All children of a against all children of b, node pair by node pair.
-            nb = np.bincount(ib, minlength=len(b))
-            reps = nb[ia]
-            left = np.repeat(ca, reps)
-            first_b = np.cumsum(nb) - nb
-            inner = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
-            right = cb[np.repeat(first_b[ia], reps) + inner]
-            m = self.levels[level - 1]
-            near = (left <= right) & (m[0][left] - distance <= m[2][right]) & (m[0][right] - distance <= m[2][left]) & (m[1][left] - distance <= m[3][right]) & (m[1][right] - distance <= m[3][left])
-            a, b = left[near], right[near]
+        for level in range(len(self.levels) - 1, -1, -1):
+            m, width = self.levels[level], _FAN ** (level + 1)
+            dx, dy = np.maximum(m[2][a], m[2][b]) - np.minimum(m[0][a], m[0][b]), np.maximum(m[3][a], m[3][b]) - np.minimum(m[1][a], m[1][b])
+            whole = dx * dx + dy * dy <= distance * distance
+            for p, q in ((a[whole], b[whole]), (b[whole & (a != b)], a[whole & (a != b)])):
+                # A node's points are successive in the packed order; each gets the number in the other node.
+                n = np.minimum((q + 1) * width, self.n) - q * width - (p == q)
+                np.add.at(step, p * width, n)
+                np.add.at(step, np.minimum((p + 1) * width, self.n), -n)
+            a, b = a[~whole], b[~whole]
+            if level:
+                a, b = self._closer(level, a, b, distance)
+        for u, v in self._meet(x, y, a, b, distance):
+            count += np.bincount(u, minlength=self.n) + np.bincount(v, minlength=self.n)
+        out = np.empty(self.n, np.int64)
+        out[self.order] = count + np.cumsum(step[:-1])
+        return out
+
+    def _closer(self, level: int, a: np.ndarray, b: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children, one level below, of pairs of nodes, that may hold points within ``distance``."""
+        ia, ca = self._children(level, a)
+        ib, cb = self._children(level, b)
+        # All children of a against all children of b, node pair by node pair.
+        nb = np.bincount(ib, minlength=len(b))
+        reps = nb[ia]
+        left = np.repeat(ca, reps)
+        first_b = np.cumsum(nb) - nb
+        inner = np.arange(len(left)) - np.repeat(np.cumsum(reps) - reps, reps)
+        right = cb[np.repeat(first_b[ia], reps) + inner]
+        m = self.levels[level - 1]
+        near = (left <= right) & (m[0][left] - distance <= m[2][right]) & (m[0][right] - distance <= m[2][left]) & (m[1][left] - distance <= m[3][right]) & (m[1][right] - distance <= m[3][left])
+        return left[near], right[near]
+
+    def _meet(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, distance: float):
+        """Yield places in the packed order (u, v), u < v, of points within ``distance`` in pairs of lowest nodes."""
         sx, sy = x[self.order], y[self.order]
         step = max(1, _PAIRS_AT_ONCE // _FAN)
         for i in range(0, len(a), step):
@@ -172,7 +199,17 @@ class RTree:
             k, u, v = np.nonzero(dx * dx + dy * dy <= distance * distance)
             u, v = left[k, u], right[k, v]
             once = u < v
-            yield self.order[u[once]], self.order[v[once]]
+            yield u[once], v[once]
+
+    def pairs_within(self, x: np.ndarray, y: np.ndarray, distance: float):
+        """Yield arrays (a, b) of distinct points within ``distance``, each pair once; the tree is joined with itself."""
+        if self.n < 2:
+            return
+        a = b = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, 0, -1):
+            a, b = self._closer(level, a, b, distance)
+        for u, v in self._meet(x, y, a, b, distance):
+            yield self.order[u], self.order[v]
 
 
 def in_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -330,6 +367,43 @@ def near_pairs(points: DataFrame, distance: float, key: str = "point_id", x: str
     return _near(_points(points, key, x, y, group), distance, leaf_rows, sample_rows, False).select(F.col("_a").alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"))
 
 
+def near_counts(points: DataFrame, distance: float, key: str = "point_id", x: str = "x", y: str = "y", group: str = "container", leaf_rows: int = 100_000, sample_rows: int = 100_000) -> DataFrame:
+    """``(key, n_near)``: for every point the number of points of other groups at most ``distance`` away, 0 included.
+
+    Nulls and repeated rows are treated as in :func:`near_pairs`.  A point is
+    counted in its own leaf, which holds all points within the distance of its
+    border; no pair leaves a task, and a crowded spot is counted node by node.
+    """
+    if not distance > 0:
+        raise ValueError("distance must be positive")
+    pts = _points(points, key, x, y, group)
+    tree = _tree(pts, leaf_rows, 4 * distance, sample_rows)
+    kind = dict(pts.dtypes)["_id"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf, across = pdf["_leaf"].iloc[0], pdf["_low"].iloc[0] != pdf["_high"].iloc[0]
+        pdf = _distinct(pdf)
+        xs, ys = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+        g, part = pd.factorize(pdf["_g"])[0].astype(np.int64), (pdf["_part"] == pdf["_low"].iloc[0]).to_numpy(np.int64)
+
+        def same(label: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(xs), np.int64)
+            order = np.argsort(label, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                out[at] = RTree(xs[at], ys[at]).counts_within(xs[at], ys[at], distance)
+            return out
+
+        # All, without those of the same group; between two parts, without those of the same part either.
+        n = same(np.zeros(len(xs), np.int64)) - same(g)
+        if across:
+            n -= same(part) - same(2 * g + part)
+        own = tree.leaf(xs, ys) == leaf
+        return pd.DataFrame({"_id": pdf["_id"].to_numpy()[own], "_n": n[own]})
+
+    blocks = _to_leaves_around(pts, tree, distance * (1 + 1e-9) + 1e-7).groupBy("_leaf", "_low", "_high")
+    return blocks.applyInPandas(count, f"_id {kind}, _n bigint").groupBy(F.col("_id").alias(key)).agg(F.sum("_n").alias("n_near"))
+
+
 def _near(pts: DataFrame, distance: float, leaf_rows: int, sample_rows: int, shared: bool) -> DataFrame:
     """Rows ``(_a, _b)``, and ``_in`` for each region in the ``_in`` of both, if ``shared``."""
     if not distance > 0:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.heavy import heavy_keys, per_key
-from ..operators.near import near_pairs_in_regions, points_in_regions
+from ..operators.near import near_counts, near_pairs_in_regions, points_in_regions
 from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from ..operators.spikes import flag_implausible
 from ..sources.archive import decode_ids
@@ -55,6 +55,11 @@ def p3_areas(spark: SparkSession, folder: str) -> DataFrame:
     return points_in_regions(table(spark, folder, "points"), table(spark, folder, "areas"))
 
 
+def p3_near_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sounding, inside areas or not, with the number of soundings of other containers at most ``NEAR_METERS`` away."""
+    return near_counts(table(spark, folder, "points"), NEAR_METERS)
+
+
 def _point_keys() -> dict:
     cell = F.when(F.col("cell_index") != -1, F.concat(F.col("tile_name"), F.lit("/"), F.col("cell_index")))
     return {"container": F.col("container"), "cell": cell}
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_blocks": p2_blocks,
     "p3_found": p3_found,
     "p3_areas": p3_areas,
+    "p3_near_counts": p3_near_counts,
     "p6_found": p6_found,
     "p6_key_stats": p6_key_stats,
 }
@@ -116,6 +122,12 @@ SQL: dict[str, str] = {
   join binned b on a.nx = b.bx and a.ny = b.by_ and a.area_id = b.area_id
   where a.point_id < b.point_id and a.container <> b.container
   and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR_METERS} * {NEAR_METERS}""",
+    "p3_near_counts": f"""with pts as (select distinct point_id, x, y, container from points where x is not null and y is not null and container is not null),
+  binned as (select *, floor(x / {NEAR_METERS}) as bx, floor(y / {NEAR_METERS}) as by_ from pts),
+  around as (select b.*, bx + dx as nx, by_ + dy as ny from binned b, (values (-1), (0), (1)) s(dx), (values (-1), (0), (1)) t(dy)),
+  counted as (select a.point_id, count(*) as n from around a join binned b on a.nx = b.bx and a.ny = b.by_
+  where a.container <> b.container and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR_METERS} * {NEAR_METERS} group by 1)
+  select point_id, coalesce(n, 0) as n_near from pts left join counted using (point_id)""",
     "p6_found": f"""select key_kind, key_name from {_KEYS} where key_name is not null group by 1, 2
   having count(*) >= 0.02 * (select count(*) from points)""",
     "p6_key_stats": f"""select key_kind, key_name, count(*) as n_rows,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.operators.heavy import heavy_keys, per_key
-from leadline.operators.near import Quadtree, RTree, near_pairs, near_pairs_in_regions, points_in_regions
+from leadline.operators.near import Quadtree, RTree, near_counts, near_pairs, near_pairs_in_regions, points_in_regions
 from leadline.operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from leadline.operators.spikes import flag_implausible, forward_backward
 from leadline.sources.archive import decode_ids, encode_ids, pack
@@ -182,6 +182,14 @@ def test_near_pairs_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_counts_against_brute_force(spark):
+    rows, df = crowd(spark)
+    for distance, leaf_rows in ((2.0, 100_000), (0.25, 50), (0.25, 20)):  # one leaf, many, and parts of a crowded one
+        want = {(a[0], sum(a[3] != b[3] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= distance**2 for b in rows)) for a in rows}
+        assert sorted(tuple(r) for r in near_counts(df.unionByName(df), distance, leaf_rows=leaf_rows).collect()) == sorted(want)
+    assert near_counts(df.limit(0), 1.0).count() == 0
+
+
 def test_regions(spark):
     rows, df = crowd(spark)
     notch = [(1.0, 1.0), (9.0, 1.0), (9.0, 9.0), (5.1, 2.0), (1.0, 9.0)]
