@@ -43,10 +43,12 @@ def per_key(df: DataFrame, key: Column, aggregates: list[Column], share: float)
 
     ``aggregates`` must be aliased built-in aggregates, which Spark combines
     before the shuffle; so a heavy key sends one row a task.  A null key is no
-    key.  An empty table gives an empty result.
+    key, but its rows count in the base of ``share``, as in :func:`heavy_keys`.
+    An empty table gives an empty result.
     """
-    keyed = df.withColumn("_key", key.cast("string")).where("_key is not null")
-    heavy = cut(heavy_keys(keyed, {"key": F.col("_key")}, share).select(F.col("key_name").alias("_key")))  # at most 1 / share keys
+    every = df.withColumn("_key", key.cast("string"))
+    keyed = every.where("_key is not null")
+    heavy = cut(heavy_keys(every, {"key": F.col("_key")}, share).select(F.col("key_name").alias("_key")))  # at most 1 / share keys
     heavy_rows = keyed.join(F.broadcast(heavy), "_key", "left_semi")
     rest = keyed.join(F.broadcast(heavy), "_key", "left_anti")
     done = lambda x, is_heavy: x.groupBy("_key").agg(*aggregates).withColumn("is_heavy", F.lit(is_heavy))

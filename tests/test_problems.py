@@ -110,6 +110,13 @@ def test_heavy_keys(spark):
         heavy_keys(df, {"key": F.col("key")}, 0)
 
 
+def test_per_key_counts_null_keys_in_the_base(spark):
+    df = spark.createDataFrame([("big",)] * 400 + [(f"k{i}",) for i in range(500)] + [(None,)] * 100, "key string").repartition(3)
+    flag = lambda share: {r.key_name: r.is_heavy for r in per_key(df, F.col("key"), [F.count("*").alias("n")], share).collect()}
+    got = flag(0.42)  # 44 % of the rows with a key, 40 % of all
+    assert not any(got.values()) and len(got) == 501 and flag(0.4)["big"]
+
+
 FILES = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("grid_name", T.StringType()), T.StructField("tile_name", T.StringType()), T.StructField("layer", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("record_ids", T.ArrayType(T.LongType())), T.StructField("bucket", T.StringType())])
 
 
