@@ -463,6 +463,12 @@ def plane_slopes_query(spark, folder):
     return plane_slopes(tiled).join(sound.select(*keys), keys, "left_semi").select(*keys, six("x_slope"), six("y_slope"))
 
 
+@_add("plane_slopes_all")
+def plane_slopes_all(spark, folder):
+    """Slopes of every cell; few points, or points on a line, give the solution of least norm."""
+    return plane_slopes(with_tiles(points(spark, folder), TILE).withColumn("resolution", F.lit(32.0)))
+
+
 @_add("grid_extents", f"""with {_P} select floor(min(x) / {TILE}) * {TILE} as min_x, floor(min(y) / {TILE}) * {TILE} as min_y,
   case when ceil(max(x) / {TILE}) * {TILE} = max(x) then max(x) + {TILE} else ceil(max(x) / {TILE}) * {TILE} end as max_x,
   case when ceil(max(y) / {TILE}) * {TILE} = max(y) then max(y) + {TILE} else ceil(max(y) / {TILE}) * {TILE} end as max_y from p""")
