@@ -21,11 +21,13 @@ _BROADCAST_SOURCES = 64
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """What each target source can give: ``(source, target_share, max_repeats, available, n_docs, quota)``.
+    """What each target source can give: ``(source, target_share, max_repeats, available, n_docs, quota, binds)``.
 
     ``sizes`` has ``source`` and ``size``.  Without ``total``, it is the
     largest that lets every source with any text reach its share; a source
     without text can't, and the others then keep their shares to each other.
+    So the poorest source for its share holds the size of the whole mix; a
+    source ``binds`` if its quota takes all it may give.
     """
     have = sizes.groupBy("source").agg(F.sum("size").alias("available"), F.count("*").alias("n_docs"))
     rows = targets.join(have, "source", "left").fillna(0, ["available", "n_docs"])
@@ -35,7 +37,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     else:
         rows = rows.withColumn("_total", F.lit(float(total)))
     most = F.col("max_repeats") * F.col("available")
-    return rows.withColumn("quota", F.least(F.coalesce(F.col("_total"), F.lit(0.0)) * F.col("target_share"), most.cast("double"))).drop("_total")
+    wanted = F.coalesce(F.col("_total"), F.lit(0.0)) * F.col("target_share")
+    # The source that sets the total may miss it by rounding.
+    binds = F.coalesce((wanted > 0) & (most > 0) & (wanted * F.lit(1 + 1e-9) >= most), F.lit(False))
+    return rows.withColumns({"quota": F.least(wanted, most.cast("double")), "binds": binds}).drop("_total")
 
 
 def _uniform(key: Column, seed: int) -> Column:
@@ -67,8 +72,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     """Select documents so that each source has its share of the total size.
 
     Returns the selection ``(key, source, size, copies)`` and the report
-    ``(source, target_share, max_repeats, available, selected, reached_share,
-    reached)``.  No document gets more than its source's ``max_repeats``
+    ``(source, target_share, max_repeats, available, n_docs, selected,
+    most_copies, reached_share, reached, binds)``.  No document gets more than its source's ``max_repeats``
     copies; a source never exceeds its quota and misses it by less than one
     document's size, or gives all it has where that is less.  ``weight`` makes
     the chances unequal: twice the weight asks for twice the copies (default:
@@ -111,5 +116,5 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     all_ = got.agg(F.sum("selected").alias("_all"))
     report = quotas.join(got, "source", "left").fillna(0, ["selected", "most_copies"]).crossJoin(F.broadcast(all_))
     share = F.coalesce(F.col("selected") / F.col("_all"), F.lit(0.0))
-    report = report.select("source", "target_share", "max_repeats", "available", "n_docs", "selected", "most_copies", share.alias("reached_share"), (F.abs(share - F.col("target_share")) <= F.lit(0.005)).alias("reached"))
+    report = report.select("source", "target_share", "max_repeats", "available", "n_docs", "selected", "most_copies", share.alias("reached_share"), (F.abs(share - F.col("target_share")) <= F.lit(0.005)).alias("reached"), "binds")
     return chosen.withColumnRenamed("_key", key), report

@@ -189,6 +189,13 @@ def test_mix_of_a_given_total_and_weights(spark):
     assert mix(df.limit(0), targets, "id", F.col("src"), F.col("n"))[0].count() == 0
 
 
+def test_mix_tells_the_source_that_binds(spark):
+    df = spark.createDataFrame([(i, "rich", 10) for i in range(1000)] + [(5000, "poor", 7)], "id int, src string, n int")
+    targets = spark.createDataFrame([("rich", 0.7, 1), ("poor", 0.2, 3), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
+    binds = lambda **more: {r.source for r in mix(df, targets, "id", F.col("src"), F.col("n"), **more)[1].collect() if r.binds}
+    assert binds() == {"poor"} and binds(total=50.0) == set() and binds(total=1e6) == {"rich", "poor"}
+
+
 # Quality.
 
 WORDS = [("en", w) for w in "the of and a to in is that it was for on as with be by at this not are but from or have which we if when there so can no now one all more".split()] + [("de", w) for w in "der die das und ist nicht in den zu ein eine mit auf aber denn so ich es im am vor nach".split()]
