@@ -7,25 +7,29 @@ the shared folder of the session.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import charts as P
 from .functions.names import family, tile_name
 from .functions.rounding import to_mm
 from .operators import cells as C
 from .operators import chunks, layers, lookup, neighbors, stats
 from .operators import resolution as R
 from .operators.cube import CUBE
-from .operators.keys import check_size, with_tiles
+from .operators.keys import check_size, origin, with_tiles
 from .operators.slopes import plane_slopes
 from .sources import export as X
-from .sources.batch import to_frame
+from .sources.batch import COLUMNS, schema_of, to_frame
 from .sources.shared import new_path
-from .sources.store import ROOTS, Store, exists, find_root, has_content
+from .sources.store import BLOCK_TILES, ROOTS, Store, block_of, exists, find_root, has_content, named_blocks
 
 _TIME = "%Y-%m-%dT%H:%M:%S"
 TYPES, BACKENDS = tuple(ROOTS), ("parquet", "numpy", "zarr")
@@ -47,8 +51,8 @@ def create_grid(spark: SparkSession, folder_path: str = "", grid_type: str = "si
         folder = f"{folder}_{datetime.now(UTC):%Y%m%d_%H%M%S}"
     manifest = {
         "grid_type": grid_type, "storage_type": grid_backend, "tile_size": float(tile_size), "subtile_size": float(subtile_size) if grid_type != "single_resolution" else None,
-        "is_backscatter": bool(is_backscatter), "epsg": None, "vertical_reference": None, "min_time": None, "max_time": None, "mean_depth": 0.0, "containers": {}, "seq": 0,
-        "extents": None, "grid_algorithm": None, "grid_resolution": None, "grid_parameters": None, "resolutions": [], "cells": None, "gridded": None,
+        "is_backscatter": bool(is_backscatter), "epsg": None, "crs": None, "vertical_reference": None, "min_time": None, "max_time": None, "mean_depth": 0.0, "containers": {}, "seq": 0,
+        "extents": None, "grid_algorithm": None, "grid_resolution": None, "grid_parameters": None, "resolutions": [], "cells": None, "cell_schema": None, "touched": [],
     }
     grid = Grid(spark, Store(spark, f"{folder}/{ROOTS[grid_type]}"), manifest)
     grid._save()
@@ -76,9 +80,16 @@ class Grid:
 
     def __init__(self, spark: SparkSession, store: Store, manifest: dict):
         self.spark, self._store, self._m = spark, store, manifest
+        self._frames: dict[str, DataFrame] = {}  # scans of what the manifest names, listed once
 
     def _save(self) -> None:
         self._store.save_manifest(self._m)
+        self._frames = {}
+
+    def _kept(self, kind: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if kind not in self._frames:
+            self._frames[kind] = make()
+        return self._frames[kind]
 
     # What there is.
 
@@ -157,17 +168,45 @@ class Grid:
     def container_timestamp(self) -> dict[str, str]:
         return {n: c["added_at"] for n, c in self._m["containers"].items()}
 
-    def points(self) -> DataFrame | None:
-        """All points with their container."""
-        return self._store.read([c["table"] for c in self._m["containers"].values()])
+    @property
+    def _columns(self) -> list[str]:
+        """Columns that any batch has."""
+        return [c for c in COLUMNS if any(c in k["columns"] for k in self._m["containers"].values())]
+
+    @property
+    def _block_side(self) -> float:
+        return BLOCK_TILES * self.tile_size
+
+    def _point_schema(self) -> T.StructType:
+        return schema_of(self._columns)
+
+    def _stored(self, blocks: set[str] | None = None, containers: list[str] | None = None) -> DataFrame:
+        """Stored points with their leaf tile, of some blocks or containers only; what is not asked for is not read."""
+        every = self._kept("points", lambda: self._store.points([c["batch"] for c in self._m["containers"].values()], self._point_schema()))
+        if containers is not None:
+            every = every.where(F.col("batch").isin([self._m["containers"][c]["batch"] for c in containers]))
+        if blocks is not None:
+            every = every.where(F.col("block").isin(sorted(blocks)))
+        return every.drop("batch", "block")
+
+    def points(self, containers: list[str] | None = None) -> DataFrame | None:
+        """All points with their container, or those of some containers."""
+        return None if self.is_empty else self._stored(containers=containers).drop("tile_x", "tile_y")
 
     def cells(self) -> DataFrame | None:
         """All cells; one row a cell, a column a layer."""
-        return self._store.read([self._m["cells"]]) if self._m["cells"] else None
+        return None if self.no_grid else self._kept("cells", lambda: self._store.cells(self._m["cells"], self._cell_schema()).drop("block"))
+
+    def _cell_schema(self) -> T.StructType:
+        return T.StructType.fromJson(self._m["cell_schema"])
+
+    def _tiled(self, blocks: set[str] | None = None) -> DataFrame:
+        return self._stored(blocks).where("tile_x is not null")
 
-    def _tiled(self) -> DataFrame | None:
-        points = self.points()
-        return None if points is None else with_tiles(points, self.leaf_size)
+    def _tiles(self, size: float, batches: list[str] | None = None) -> DataFrame:
+        """Distinct tiles of a size, from what is kept of each batch; no point is read."""
+        found = self._store.tiles([c["batch"] for c in self._m["containers"].values()] if batches is None else batches)
+        return found.where("tile_x is not null").select(origin(F.col("tile_x"), size).alias("tile_x"), origin(F.col("tile_y"), size).alias("tile_y")).distinct()
 
     def _need_cells(self) -> DataFrame:
         if self.no_grid:
@@ -188,13 +227,11 @@ class Grid:
 
     @property
     def has_vertical_uncertainty(self) -> bool:
-        points = self.points()
-        return points is not None and "tvu" in points.columns
+        return "tvu" in self._columns
 
     @property
     def has_horizontal_uncertainty(self) -> bool:
-        points = self.points()
-        return points is not None and "thu" in points.columns
+        return "thu" in self._columns
 
     @property
     def positive_up(self) -> bool:
@@ -203,49 +240,72 @@ class Grid:
 
     @property
     def points_count(self) -> int:
-        points = self.points()
-        return 0 if points is None else points.count()
+        return sum(c["n"] for c in self._m["containers"].values())
 
     @property
     def number_of_tiles(self) -> int:
-        points = self.points()
-        return 0 if points is None else with_tiles(points, self.tile_size).select("tile_x", "tile_y").distinct().count()
+        return 0 if self.is_empty else self._tiles(self.tile_size).count()
 
     @property
     def point_count_changed(self) -> bool:
-        """Whether a tile's points differ from those last gridded."""
-        return not self.is_empty and not self._dirty().isEmpty()
+        """Whether points were added or removed since the tiles were last gridded."""
+        return not self.is_empty and (self.no_grid or bool(self._m["touched"]))
 
     # Adding and removing points.
 
+    def _check_crs(self, crs) -> tuple[int | None, str | None]:
+        """The EPSG number, if there is one, and the text of a coordinate system; it must be that of the grid."""
+        if crs is None:
+            return self.epsg, self._m["crs"]
+        text = str(crs).strip()
+        number = text.upper().removeprefix("EPSG:")
+        epsg, text = (int(number), None) if number.isdigit() else (None, text)
+        if (self.epsg is not None or self._m["crs"]) and (epsg, text) != (self.epsg, self._m["crs"]):
+            raise ValueError(f"coordinate system {crs} differs from {self.epsg or self._m['crs']}")
+        return epsg, text
+
     def add_points(self, data, container_name: str, file_list: list[str] | None = None, crs=None, vertical_reference: str | None = None, min_time: float | None = None, max_time: float | None = None) -> None:
-        """Add a batch under a name of its own."""
+        """Add a batch under a name of its own.  ``crs`` is an EPSG number, or a system's text."""
         if container_name in self._m["containers"]:
             raise ValueError(f"container {container_name!r} is there already; remove it first")
-        if crs is not None and self.epsg is not None and int(crs) != self.epsg:
-            raise ValueError(f"coordinate system {crs} differs from {self.epsg}")
-        old = self.vertical_reference
+        self._add(data, container_name, file_list, crs, vertical_reference, min_time, max_time)
+
+    def replace_points(self, data, container_name: str, file_list: list[str] | None = None, crs=None, vertical_reference: str | None = None, min_time: float | None = None, max_time: float | None = None) -> None:
+        """Put a batch in the place of the one that has its name, if there is one, in one step."""
+        self._add(data, container_name, file_list, crs, vertical_reference, min_time, max_time)
+
+    def _add(self, data, name: str, file_list, crs, vertical_reference, min_time, max_time) -> None:
+        m, old = self._m, self.vertical_reference
+        epsg, text = self._check_crs(crs)
         if old and old != vertical_reference and not ("MLLW" in old and "MLLW" in (vertical_reference or "")):
             raise ValueError(f"vertical reference {vertical_reference!r} differs from {old!r}")
-        batch = to_frame(self.spark, data).withColumn("container", F.lit(container_name))
-        table = self._store.write("points", batch)
-        stored = self._store.read([table])
-        n, mean, nonzero, *box = stored.agg(F.count("*"), to_mm(F.avg(F.col("z").cast("double")), True), F.max(F.when(F.col("z") != 0, 1)), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        m = self._m
-        if n and box[0] is not None:
-            m["extents"] = self._grown(box)
-        m["mean_depth"] = float(np.float32(mean)) if nonzero and mean is not None else 0.0
-        m["epsg"] = int(crs) if crs is not None else m["epsg"]
-        m["vertical_reference"] = vertical_reference
+        batch, rows = uuid.uuid4().hex, to_frame(self.spark, data)
+        corner = lambda c: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), origin(F.col(c), self.leaf_size))
+        rows = rows.withColumns({"container": F.lit(name), "tile_x": corner("x"), "tile_y": corner("y")})
+        self._store.write_points(rows.withColumn("block", block_of(F.col("tile_x"), F.col("tile_y"), self._block_side)), batch)
+        stored = self._store.points([batch], schema_of(rows.columns))
+        z = F.col("z").cast("double")
+        ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]
+        per_tile = stored.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.count("z").alias("n_z"), F.sum(z).alias("sum_z"), F.max(z != 0).alias("nonzero"), *ends)
+        tiles = self._store.write_tiles(per_tile, batch)
+        s = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), to_mm(F.sum("sum_z") / F.sum("n_z"), True).alias("mean"), F.max("nonzero").alias("nonzero"), *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]).first()
+        if s.min_x is not None and s.min_y is not None:
+            m["extents"] = self._grown([s.min_x, s.min_y, s.max_x, s.max_y])
+        m["mean_depth"] = float(np.float32(s["mean"])) if s.nonzero and s["mean"] is not None else 0.0
+        m["epsg"], m["crs"], m["vertical_reference"] = epsg, text, vertical_reference
         for key, value, pick in (("min_time", min_time, min), ("max_time", max_time, max)):
             if value is not None:
                 seconds = int(value)
                 if m[key]:
                     seconds = pick(seconds, int(datetime.strptime(m[key], _TIME).replace(tzinfo=UTC).timestamp()))
                 m[key] = datetime.fromtimestamp(seconds, UTC).strftime(_TIME)
-        m["containers"][container_name] = {"files": list(file_list) if file_list else ["Unknown"], "added_at": f"{datetime.now(UTC):%Y%m%d_%H%M%S}", "table": table, "seq": m["seq"]}
+        before = m["containers"].pop(name, None)
+        m["containers"][name] = {"files": list(file_list) if file_list else ["Unknown"], "added_at": f"{datetime.now(UTC):%Y%m%d_%H%M%S}", "batch": batch, "n": int(s.n), "columns": [c for c in COLUMNS if c in rows.columns], "seq": m["seq"]}
         m["seq"] += 1
+        m["touched"] = [*m["touched"], batch, *([before["batch"]] if before else [])]
+        gone = self._drop_empty_tiles(before["batch"]) if before else []
         self._save()
+        self._store.drop([*gone, *([f"points/batch={before['batch']}"] if before else [])])
 
     def _grown(self, box: list[float]) -> list[float]:
         """Extents after another batch; a border that is aligned already moves out by a tile."""
@@ -257,11 +317,44 @@ class Grid:
         return [*(float(np.floor(v / size) * size) for v in low), *(up(v) for v in high)]
 
     def remove_points(self, container_name: str | None = None) -> None:
-        """Remove a container; a name that isn't there changes nothing, extents and mean depth stay."""
+        """Remove a container, and the cells of tiles that are left without points.
+
+        A name that isn't there changes nothing; extents and mean depth stay.
+        """
         found = self._m["containers"].pop(container_name, None)
         if found:
+            self._frames = {}
+            self._m["touched"] = [*self._m["touched"], found["batch"]]
+            gone = self._drop_empty_tiles(found["batch"])
             self._save()
-            self._store.drop([found["table"]])
+            self._store.drop([*gone, f"points/batch={found['batch']}"])
+
+    def _drop_empty_tiles(self, batch: str) -> list[str]:
+        """Take the cells of tiles that only a removed batch had points in out of the manifest; the folders that may go."""
+        self._frames = {}
+        if self.no_grid:
+            return []
+        tiles = self._tiles(self.leaf_size, [batch])
+        empty = tiles.join(self._tiles(self.leaf_size), ["tile_x", "tile_y"], "left_anti")
+        blocks = named_blocks(empty, self._block_side)
+        if blocks is not None and not blocks:
+            return []
+        version = uuid.uuid4().hex
+        stay = self._store.cells(self._m["cells"], self._cell_schema(), blocks).join(empty, ["tile_x", "tile_y"], "left_anti")
+        self._store.write_cells(stay, version)
+        return self._put_version(version, blocks)
+
+    def _put_version(self, version: str, blocks: set[str] | None) -> list[str]:
+        """Let a version's blocks stand for these blocks, or for all; the folders that may go."""
+        m, gone, left = self._m, [], {}
+        for v, have in (m["cells"] or {}).items():
+            stay = {b: r for b, r in have.items() if blocks is not None and b not in blocks}
+            if stay:
+                left[v] = stay
+            gone += [f"cells/version={v}"] if not stay else [f"cells/version={v}/block={b}" for b in have if b not in stay]
+        m["cells"] = left | {version: self._store.blocks_of(version)}
+        m["resolutions"] = sorted({r for have in m["cells"].values() for rs in have.values() for r in rs})
+        return gone
 
     def return_extents(self) -> list[list[float]]:
         e = self._m["extents"]
@@ -269,17 +362,6 @@ class Grid:
 
     # Gridding.
 
-    def _prints(self) -> DataFrame:
-        """A fingerprint of each leaf tile's points: how many, and their hashes together."""
-        tiled = self._tiled()
-        return tiled.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*tiled.columns)).alias("print"))
-
-    def _dirty(self) -> DataFrame:
-        now = self._prints()
-        if self._m["gridded"] is None:
-            return now.select("tile_x", "tile_y")
-        return now.join(self._store.read([self._m["gridded"]]), ["tile_x", "tile_y", "n", "print"], "left_anti").select("tile_x", "tile_y")
-
     def _mean_resolution(self) -> float:
         return R.resolution_for_depth(self.mean_depth, self.tile_size)
 
@@ -303,12 +385,21 @@ class Grid:
             raise ValueError("regrid_option must be 'full' or 'update'")
         if self.grid_algorithm and self.grid_algorithm != algorithm and not clear_existing and not self.no_grid:
             raise ValueError(f"the grid was made with {self.grid_algorithm!r}; clear_existing to change that")
-        points = self.points()
-        if algorithm == CUBE and not {"tvu", "thu"} <= set(points.columns):
+        if algorithm == CUBE and not {"tvu", "thu"} <= set(self._columns):
             raise ValueError("this method needs tvu and thu")
-        tiled, leaf, keys = self._tiled(), self.leaf_size, ["tile_x", "tile_y"]
-        todo = self._dirty() if regrid_option == "update" else tiled.select(*keys).distinct()
-        some = tiled.join(todo, keys, "left_semi") if regrid_option == "update" else tiled
+        m, leaf, keys, side = self._m, self.leaf_size, ["tile_x", "tile_y"], self._block_side
+        todo, blocks = None, None
+        if regrid_option == "update" and not self.no_grid:
+            # The tiles of the batches that came or went; only their blocks are read and written.
+            todo = self._tiles(leaf, m["touched"])
+            blocks = named_blocks(todo, side)
+            if blocks is not None and not blocks:
+                m["touched"] = []
+                self._save()
+                return self.resolutions
+        some = self._tiled(blocks)
+        if todo is not None:
+            some = some.join(todo, keys, "left_semi")
         if resolution is not None:
             rez = some.withColumn("resolution", F.lit(min(check_size(resolution, "resolution"), leaf)))
         elif self.is_variable:
@@ -317,28 +408,41 @@ class Grid:
             one = self._mean_resolution() if auto_resolution_mode == "depth" else self.resolution_by_density()
             rez = some.withColumn("resolution", F.lit(one))
         parameters = dict(grid_parameters or {})
-        if algorithm == CUBE:
+        if algorithm == CUBE and todo is not None:
             # The points about a tile's border count as well, whether or not their own tile is gridded now.
-            parameters["halo"] = neighbors.halo_points(tiled, leaf, leaf / 10).join(todo.toDF("for_x", "for_y"), ["for_x", "for_y"], "left_semi")
+            steps = F.array(*[F.struct((F.col("tile_x") + dx * leaf).alias("tile_x"), (F.col("tile_y") + dy * leaf).alias("tile_y")) for dx, dy in ((0, 0), *[(x, y) for _, x, y in neighbors.SIDES])])
+            around = named_blocks(todo.select(F.explode(steps).alias("t")).select("t.*"), side)
+            parameters["halo"] = neighbors.halo_points(self._tiled(around), leaf, leaf / 10).join(todo.toDF("for_x", "for_y"), ["for_x", "for_y"], "left_semi")
         new = C.aggregate_cells(rez, algorithm, leaf, single=True, parameters=parameters)
         if self.is_backscatter:
             new = new.withColumnRenamed("depth", "intensity")
-        m, before = self._m, [t for t in (self._m["cells"], self._m["gridded"]) if t]
-        cells = C.merge_cells(self.cells(), new, tiled, todo, clear_existing) if m["cells"] else new
-        m["cells"], m["gridded"] = self._store.write("cells", cells, ["resolution"]), self._store.write("gridded", self._prints())
+        old_schema = self._cell_schema() if not self.no_grid else T.StructType([])
+        version, with_block = uuid.uuid4().hex, lambda c: c.withColumn("block", block_of(F.col("tile_x"), F.col("tile_y"), side))
+        self._store.write_cells(with_block(new), version)
+        replaces_all = clear_existing and todo is None
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*new.schema.fields, *([] if replaces_all else [f for f in old_schema.fields if f.name not in new.columns])]])
+        if not self.no_grid and not replaces_all:
+            old = self._store.cells(m["cells"], old_schema, blocks)
+            fresh = self._store.cells({version: self._store.blocks_of(version)}, schema).select(*keys, "resolution").distinct()
+            self._store.write_cells(C.kept_cells(old, some, todo, fresh, clear_existing), version)
+        gone = self._put_version(version, blocks)
+        m["cell_schema"], m["touched"] = schema.jsonValue(), []
         m["grid_algorithm"], m["grid_parameters"] = algorithm, grid_parameters
         m["grid_resolution"] = resolution if resolution is not None else f"AUTO_{auto_resolution_mode.upper()}"
-        m["resolutions"] = sorted(float(r.resolution) for r in self._store.read([m["cells"]]).select("resolution").distinct().collect())  # powers of two: a few
         self._save()
-        self._store.drop(before)
+        self._store.drop([*gone, *self._stale_tiles()])
         return self.resolutions
 
+    def _stale_tiles(self) -> list[str]:
+        """Folders of tiles of batches that are gone and told for."""
+        live = {c["batch"] for c in self._m["containers"].values()} | set(self._m["touched"])
+        return [f"tiles/{n}" for n in self._store.names("tiles") if n.removeprefix("batch=") not in live]
+
     def clear_grid(self) -> None:
         """Drop the cells, keep the points."""
-        old = [t for t in (self._m["cells"], self._m["gridded"]) if t]
-        self._m.update(cells=None, gridded=None, resolutions=[], grid_algorithm=None, grid_resolution=None)
+        self._m.update(cells=None, cell_schema=None, touched=[], resolutions=[], grid_algorithm=None, grid_resolution=None)
         self._save()
-        self._store.drop(old)
+        self._store.drop(["cells"])
 
     # Layers.
 
@@ -362,13 +466,13 @@ class Grid:
         """Cells at a resolution, with slopes and layers of single containers where they are asked for."""
         cells = self._need_cells().where(F.col("resolution") == F.lit(resolution))
         have, keys = layers.layer_names(cells), list(layers.KEYS)
-        rez = lambda pts: with_tiles(pts, self.leaf_size).join(cells.select("tile_x", "tile_y").distinct(), ["tile_x", "tile_y"], "left_semi").withColumn("resolution", F.lit(resolution))
+        rez = lambda pts: pts.where("tile_x is not null").join(cells.select("tile_x", "tile_y").distinct(), ["tile_x", "tile_y"], "left_semi").withColumn("resolution", F.lit(resolution))
         if any(n in ("x_slope", "y_slope") for n in names):
-            cells = cells.join(plane_slopes(rez(self.points())), keys, "left")
+            cells = cells.join(plane_slopes(rez(self._stored())), keys, "left")
         for n in names:
             bare = n.removesuffix("_density")
             if n not in have and n not in cells.columns and bare in self._m["containers"]:
-                alone = C.aggregate_cells(rez(self.points().where(F.col("container") == bare)), self.grid_algorithm, self.leaf_size, single=True)
+                alone = C.aggregate_cells(rez(self._stored(containers=[bare])), self.grid_algorithm, self.leaf_size, single=True)
                 cells = cells.join(layers.container_layer(alone, bare), keys, "left")
         return cells
 
@@ -422,22 +526,48 @@ class Grid:
         x0, y0 = self._m["extents"][:2]
         return axis(x0, mins[1], maxs[1]), axis(y0, mins[0], maxs[0]), data, mins, maxs
 
-    def get_tiles_by_resolution(self, resolution: float | None = None, layer: str | list[str] = "depth", nodatavalue: float = np.nan, z_positive_up: bool = False):
+    def _packed(self, rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+        """A row for each leaf tile: where its cells lie in its raster, and the layers, as bytes of arrays."""
+        side = {n: ("<i8" if self._is_whole(n) else "<f4") for n in names}
+        leaf, keys = self.leaf_size, [*by, "tile_x", "tile_y"]
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            width = int(np.ceil(leaf / pdf["resolution"].iloc[0]))
+            out = {k: [pdf[k].iloc[0]] for k in keys} | {"at": [(pdf["row"].to_numpy(np.int64) * width + pdf["col"].to_numpy(np.int64)).tobytes()]}
+            for n, kind in side.items():
+                v = pdf[n].to_numpy(float)
+                out[n] = [(np.nan_to_num(v) if kind == "<i8" else v).astype(kind).tobytes()]
+            return pd.DataFrame(out)
+
+        kinds = dict(rows.dtypes)
+        fields = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "at binary", *[f"`{n}` binary" for n in names]])
+        return rows.select(*keys, "resolution", "row", "col", *names).groupBy(*keys).applyInPandas(pack, fields)
+
+    @staticmethod
+    def _is_whole(name: str) -> bool:
+        return name in layers.COUNTS or name.endswith("_density")
+
+    def _empty(self, names: list[str], rows: int, cols: int, nodata: float) -> dict[str, np.ndarray]:
+        whole = int(nodata) if nodata == nodata else 0
+        return {n: np.full((rows, cols), whole, np.int64) if self._is_whole(n) else np.full((rows, cols), nodata, np.float32) for n in names}
+
+    @staticmethod
+    def _put(data: dict[str, np.ndarray], tile, width: int, row: int, col: int) -> None:
+        """Write a packed tile's cells into arrays in which its corner is at (row, col)."""
+        at = np.frombuffer(tile["at"], np.int64)
+        for n, a in data.items():
+            v = np.frombuffer(tile[n], "<i8" if a.dtype == np.int64 else "<f4")
+            ok = np.ones(len(v), bool) if a.dtype == np.int64 else ~np.isnan(v)
+            a[row + at[ok] // width, col + at[ok] % width] = v[ok]
+
+    def get_tiles_by_resolution(self, resolution: float | None = None, layer: str | list[str] = "depth", nodatavalue: float = np.nan, z_positive_up: bool = False) -> Iterator:
         """Yield for each leaf tile its geotransform, first row and column in the grid, number of cells a side, and arrays; a tile at a time is in memory."""
         names, res = [layer] if isinstance(layer, str) else list(layer), self._one_resolution(resolution)
-        rows = self._indexed(self.layer_cells(names, res, None, z_positive_up))
         side = int(self.leaf_size / res)
-        per_tile = rows.groupBy("tile_x", "tile_y").agg(F.collect_list(F.struct("row", "col", *names)).alias("c"))  # a tile's cells, bounded by its raster
         x0, y0 = self._m["extents"][:2]
-        for t in per_tile.orderBy("tile_y", "tile_x").toLocalIterator():
-            data = {}
-            for n in names:
-                whole = n in layers.COUNTS
-                a = np.full((side, side), 0 if whole else nodatavalue, dtype=np.int64 if whole else np.float32)
-                for c in t.c:
-                    if c[n] is not None:
-                        a[c.row, c.col] = c[n]
-                data[n] = a
+        for t in self._packed(self.layer_cells(names, res, None, z_positive_up), names, []).orderBy("tile_y", "tile_x").toLocalIterator():
+            data = self._empty(names, side, side, nodatavalue)
+            self._put(data, t, side, 0, 0)
             geo = [float(np.float32(t.tile_x)), res, 0, float(np.float32(t.tile_y + self.leaf_size)), 0, -res]
             yield geo, int((t.tile_y - y0) / res), int((t.tile_x - x0) / res), side, data
 
@@ -446,32 +576,47 @@ class Grid:
         return [float(np.float32(x0)), float(resolution), 0, float(np.float32(y1)), 0, -float(resolution)]
 
     def get_tile_boundaries(self) -> DataFrame:
-        return neighbors.tile_outlines(with_tiles(self.points(), self.tile_size), self.tile_size)
+        return neighbors.tile_outlines(self._tiles(self.tile_size), self.tile_size)
 
     def get_tile_neighbors(self) -> DataFrame:
-        return neighbors.tile_neighbors(with_tiles(self.points(), self.tile_size), self.tile_size)
+        return neighbors.tile_neighbors(self._tiles(self.tile_size), self.tile_size)
 
     def get_tile_neighbor_points(self, buffer_value: float) -> DataFrame:
         """The points within ``buffer_value`` of the borders that leaf tiles share."""
         return neighbors.halo_points(self._tiled(), self.leaf_size, buffer_value)
 
-    def get_chunks_of_tiles(self, resolution: float | None = None, layer: str | list[str] = "depth", nodatavalue: float = np.nan, z_positive_up: bool = False, override_maximum_chunk_dimension: float | None = None, for_gdal: bool = True):
-        """Yield for each block of tiles its geotransform, longer side, and arrays, north up if ``for_gdal``; a block at a time is in memory."""
-        names, res = [layer] if isinstance(layer, str) else list(layer), self._one_resolution(resolution)
+    def _chunked(self, res: float, names: list[str], positive_up: bool, greatest: float | None) -> DataFrame:
+        """The cells at a resolution with their block of tiles, ``chunk``, its box and its number of tiles."""
         size = self.tile_size
-        rows = self._indexed(self.layer_cells(names, res, None, z_positive_up))
-        blocks = chunks.chunk_tiles(with_tiles(self.points(), size), size, override_maximum_chunk_dimension or chunks.GREATEST)
-        x0, y0 = self._m["extents"][:2]
-        for b in blocks.groupBy("chunk").agg(F.min("tile_x").alias("x0"), F.min("tile_y").alias("y0"), (F.max("tile_x") + size).alias("x1"), (F.max("tile_y") + size).alias("y1"), F.count("*").alias("n")).orderBy("chunk").toLocalIterator():
-            box = tuple(int((v - o) / res) for v, o in ((b.y0, y0), (b.x0, x0), (b.y1, y0), (b.x1, x0)))
-            inside = rows.where(f"grid_row >= {box[0]} and grid_row < {box[2]} and grid_col >= {box[1]} and grid_col < {box[3]}")
-            if inside.isEmpty():
-                continue
-            data = dict(zip(names, self._raster(inside, names, res, box, nodatavalue), strict=True))
-            if for_gdal:
-                data = {n: np.flipud(a) for n, a in data.items()}
-            longest = max(b.x1 - b.x0, b.y1 - b.y0) if b.n > 1 else 0
-            yield [float(np.float32(b.x0)), res, 0, float(np.float32(b.y1)), 0, -res], longest, data
+        blocks = chunks.chunk_tiles(self._tiles(size), size, greatest or chunks.GREATEST).select("tile_x", "tile_y", "chunk")
+        box = blocks.groupBy("chunk").agg(F.min("tile_x").alias("x0"), F.min("tile_y").alias("y0"), (F.max("tile_x") + size).alias("x1"), (F.max("tile_y") + size).alias("y1"), F.count("*").alias("n_tiles"))
+        at = blocks.join(box, "chunk").withColumnsRenamed({"tile_x": "_tx", "tile_y": "_ty"})
+        rows = self.layer_cells(names, res, None, positive_up).withColumns({"_tx": origin(F.col("tile_x"), size), "_ty": origin(F.col("tile_y"), size)})
+        return rows.join(at, ["_tx", "_ty"]).drop("_tx", "_ty")
+
+    def get_chunks_of_tiles(self, resolution: float | None = None, layer: str | list[str] = "depth", nodatavalue: float = np.nan, z_positive_up: bool = False, override_maximum_chunk_dimension: float | None = None, for_gdal: bool = True) -> Iterator:
+        """Yield for each block of tiles its geotransform, longer side, and arrays, north up if ``for_gdal``.
+
+        One job for all blocks: tiles arrive in the order of their blocks, so
+        that the arrays of one block at a time are in memory.
+        """
+        names, res = [layer] if isinstance(layer, str) else list(layer), self._one_resolution(resolution)
+        box, width = ["chunk", "x0", "y0", "x1", "y1", "n_tiles"], int(np.ceil(self.leaf_size / res))
+        last, data = None, {}
+
+        def done():
+            out = {n: np.flipud(a) for n, a in data.items()} if for_gdal else data
+            longest = max(last.x1 - last.x0, last.y1 - last.y0) if last.n_tiles > 1 else 0
+            return [float(np.float32(last.x0)), res, 0, float(np.float32(last.y1)), 0, -res], longest, out
+
+        for t in self._packed(self._chunked(res, names, z_positive_up, override_maximum_chunk_dimension), names, box).orderBy("chunk", "tile_y", "tile_x").toLocalIterator():
+            if last is None or t.chunk != last.chunk:
+                if last is not None:
+                    yield done()
+                last, data = t, self._empty(names, int((t.y1 - t.y0) / res), int((t.x1 - t.x0) / res), nodatavalue)
+            self._put(data, t, width, int((t.tile_y - t.y0) / res), int((t.tile_x - t.x0) / res))
+        if last is not None:
+            yield done()
 
     # Questions.
 
@@ -490,7 +635,7 @@ class Grid:
         cells = self._need_cells()
         if resolution is not None:
             cells = cells.where(F.col("resolution") == F.lit(float(resolution)))
-        return lookup.values_at(places, cells, layer, nodata=nodatavalue)
+        return lookup.values_at(places, cells, layer, nodata=nodatavalue, resolutions=self.resolutions if resolution is None else [float(resolution)])
 
     @property
     def cell_count(self) -> dict[float, int]:
@@ -535,7 +680,7 @@ class Grid:
         e = self._m["extents"] or [None] * 4
         out = {
             "grid_folder": self.output_folder, "name": self.name, "type": self._m["grid_type"], "grid_resolution": self.grid_resolution, "grid_algorithm": self.grid_algorithm, "grid_parameters": self._m["grid_parameters"],
-            "epsg": self.epsg, "vertical_reference": self.vertical_reference, "height": e[3] - e[1] if e[0] is not None else 0.0, "width": e[2] - e[0] if e[0] is not None else 0.0,
+            "epsg": self.epsg or self._m["crs"], "vertical_reference": self.vertical_reference, "height": e[3] - e[1] if e[0] is not None else 0.0, "width": e[2] - e[0] if e[0] is not None else 0.0,
             "minimum_x": e[0], "maximum_x": e[2], "minimum_y": e[1], "maximum_y": e[3], "minimum_time_utc": self.min_time, "maximum_time_utc": self.max_time,
             "tile_size": self.tile_size, "subtile_size": self.subtile_size, "tile_count": self.number_of_tiles, "resolutions": self.resolutions, "storage_type": self._m["storage_type"],
         }
@@ -554,15 +699,26 @@ class Grid:
         """Copy the grid to another folder; the copy."""
         if has_content(self.spark, folder_path):
             folder_path = f"{folder_path}_{datetime.now(UTC):%Y%m%d_%H%M%S}"
-        to = Store(self.spark, f"{folder_path}/{self.name}")
-        m = {**self._m, "containers": {n: {**c, "table": to.write("points", self._store.read([c["table"]]))} for n, c in self._m["containers"].items()}}
-        for kind, by in (("cells", ["resolution"]), ("gridded", None)):
-            m[kind] = to.write(kind, self._store.read([m[kind]]), by) if m[kind] else None
+        to, m = Store(self.spark, f"{folder_path}/{self.name}"), {**self._m}
+        batches = [c["batch"] for c in m["containers"].values()]
+        if batches:
+            to.write_points(self._store.points(batches, self._point_schema()), None)
+        for b in {*batches, *m["touched"]}:
+            to.write_tiles(self._store.tiles([b]), b)
+        if not self.no_grid:
+            version = uuid.uuid4().hex
+            to.write_cells(self._store.cells(m["cells"], self._cell_schema()), version)
+            m["cells"] = {version: to.blocks_of(version)}
         to.save_manifest(m)
         return Grid(self.spark, to, m)
 
-    def export(self, output_path: str, export_format: str = "csv", z_positive_up: bool = True, resolution: float | None = None, override_maximum_chunk_dimension: float | None = None, **metadata) -> list[str]:
-        """Write ``csv``, ``geotiff`` or ``bag`` files, one a resolution and block; their paths."""
+    def export(self, output_path: str, export_format: str = "csv", z_positive_up: bool = True, resolution: float | None = None, override_maximum_chunk_dimension: float | None = None, single_file: bool = True, writer: Callable = X.write_raster, **metadata) -> list[str]:
+        """Write ``csv``, ``geotiff`` or ``bag`` files, one a resolution and block; their paths.
+
+        Rasters are written by the executors, a block a task, to a path that
+        all of them see; ``writer`` has the signature of ``write_raster``.  A
+        CSV is one file, or with ``single_file=False`` a folder of sorted parts.
+        """
         kind = export_format.lower()
         if kind not in ("csv", "geotiff", "bag"):
             raise ValueError("export_format must be csv, geotiff or bag")
@@ -576,17 +732,55 @@ class Grid:
             rows = layers.csv_rows(self._indexed(), self.layer_names, *self._m["extents"][:2], positive_up=z_positive_up and self.mean_depth > 0 and not self.is_backscatter)
             if z_positive_up and not self.mean_depth > 0 and "depth" in rows.columns:
                 rows = rows.withColumnRenamed("depth", "elevation")
-            return X.write_csv(rows, base, wanted)
+            return X.write_csv(rows, base, wanted, single_file)
         names = [n for n in (self.depth_key, "vertical_uncertainty", "total_uncertainty") if n in self.layer_names]
         up = True if kind == "bag" else z_positive_up
-        title = lambda n: "Elevation" if n == "depth" and up else X.BANDS[n]
+        title = lambda n: "Elevation" if n == "depth" and up else (X.BAG_BANDS if kind == "bag" else X.BANDS)[n]
         ext, driver, options = ("tif", "GTiff", ()) if kind == "geotiff" else ("bag", "BAG", X.bag_options(**metadata))
+        if writer is X.write_raster:
+            X.check_gdal()
         out = []
         for r in wanted:
-            for i, (geo, _, data) in enumerate(self.get_chunks_of_tiles(r, names, np.nan, up, override_maximum_chunk_dimension), 1):
-                bands = {title(n): a for n, a in data.items()}
-                path = X.write_raster(f"{base}_{r}_{i}.{ext}", bands, geo, self.epsg, driver, options)
-                if kind == "bag":
-                    X.finish_bag(path, bands, self.min_time, self.max_time, self.epsg)
-                out.append(path)
+            rows = self._chunked(r, names, up, override_maximum_chunk_dimension)
+            used = sorted(c.chunk for c in rows.select("chunk").distinct().collect())  # a few: blocks are tens of kilometers wide
+            paths = {c: f"{base}_{r}_{i}.{ext}" for i, c in enumerate(used, 1)}
+            X.write_blocks(rows, r, {n: title(n) for n in names}, paths, self.epsg or self._m["crs"], driver, options, (self.min_time, self.max_time) if kind == "bag" else None, writer)
+            out += [paths[c] for c in used]
         return out
+
+    # Charts: the reduced frame is drawn where matplotlib is installed, and returned.
+
+    def plot(self, layer: str = "depth", resolution: float | None = None) -> list:
+        """Draw a layer at a resolution, or at each in turn; the trimmed surfaces."""
+        found = [self.return_surf_xyz(layer, r)[:3] for r in ([float(resolution)] if resolution is not None else self.resolutions)]
+        P.surface([f for f in found if f[0] is not None], layer)
+        return found
+
+    def _plot_histogram(self, layer: str, name: str, bins: int) -> pd.DataFrame | None:
+        if layer != "density_m2" and layer not in self.layer_names:
+            return None
+        return P.bars(self.histogram(layer, bins).orderBy("bin").toPandas(), name, "cells")
+
+    def plot_density_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram("density", "points in a cell", number_of_bins)
+
+    def plot_density_per_square_meter_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram("density_m2", "points a square meter", number_of_bins)
+
+    def plot_z_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram(self.depth_key, "intensity (dB)" if self.is_backscatter else "depth (m)", number_of_bins)
+
+    def plot_vertical_uncertainty_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram("vertical_uncertainty", "vertical uncertainty (m)", number_of_bins)
+
+    def plot_total_uncertainty_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram("total_uncertainty", "total uncertainty (m)", number_of_bins)
+
+    def plot_horizontal_uncertainty_histogram(self, number_of_bins: int = 50):
+        return self._plot_histogram("horizontal_uncertainty", "horizontal uncertainty (m)", number_of_bins)
+
+    def plot_density_vs_depth(self, number_of_bins: int = 50):
+        return P.line(self.density_vs_depth(number_of_bins).orderBy("bin").toPandas(), "depth (m)", "points in a cell")
+
+    def plot_density_per_square_meter_vs_depth(self, number_of_bins: int = 50):
+        return P.line(self.density_vs_depth(number_of_bins, True).orderBy("bin").toPandas(), "depth (m)", "points a square meter")

@@ -135,16 +135,26 @@ def variable_resolution(points: DataFrame, method: str = "mean", resolution: flo
     return aggregate_cells(keyed, method, leaf, single=single, parameters=parameters)
 
 
-def merge_cells(old: DataFrame, new: DataFrame, live: DataFrame, regridded: DataFrame, clear: bool, prefix: str = "tile") -> DataFrame:
-    """Cells after a run: the new ones, and of the old ones those that stay.
+def kept_cells(old: DataFrame, live: DataFrame, regridded: DataFrame | None, new: DataFrame, clear: bool, prefix: str = "tile") -> DataFrame:
+    """Of the cells there were, those that stay after a run.
 
     An old cell goes if its tile has no points left, or if its tile was gridded
-    again at the same resolution, or at any if ``clear``.
+    again at the same resolution, or at any if ``clear``.  ``regridded`` are
+    the tiles of an update, ``live`` then only needs their points; ``None``
+    means all tiles, and ``live`` all points.
     """
     tile = [f"{prefix}_x", f"{prefix}_y"]
-    stay = old.join(live.select(*tile).distinct(), tile, "left_semi")
+    there = live.select(*tile).distinct()
+    if regridded is None:
+        stay = old.join(there, tile, "left_semi")
+        return stay.where("false") if clear else stay.join(new.select(*tile, "resolution").distinct(), [*tile, "resolution"], "left_anti")
+    done = regridded.select(*tile).distinct()
     if clear:
-        stay = stay.join(regridded.select(*tile).distinct(), tile, "left_anti")
-    else:
-        stay = stay.join(new.select(*tile, "resolution").distinct(), [*tile, "resolution"], "left_anti")
-    return new.unionByName(stay, allowMissingColumns=True)
+        return old.join(done, tile, "left_anti")
+    gone = done.join(there, tile, "left_anti")
+    return old.join(gone, tile, "left_anti").join(new.select(*tile, "resolution").distinct(), [*tile, "resolution"], "left_anti")
+
+
+def merge_cells(old: DataFrame, new: DataFrame, live: DataFrame, regridded: DataFrame | None, clear: bool, prefix: str = "tile") -> DataFrame:
+    """Cells after a run: the new ones, and of the old ones those of :func:`kept_cells`."""
+    return new.unionByName(kept_cells(old, live, regridded, new, clear, prefix), allowMissingColumns=True)

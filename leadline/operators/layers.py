@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import with_nodes
-
 #: Whole-number layers, whose empty value is 0.
 COUNTS = ("density", "hypothesis_count")
 KEYS = ("tile_x", "tile_y", "resolution", "row", "col")
@@ -92,7 +90,3 @@ def container_layer(cells_of: DataFrame, name: str, layer: str = "depth") -> Dat
     """The layers of one container's points under its name: ``{name}`` and ``{name}_density``."""
     return cells_of.select(*KEYS, F.col(layer).alias(name), F.col("density").alias(f"{name}_density"))
 
-
-def nodes(cells: DataFrame) -> DataFrame:
-    """The cells with ``x`` and ``y`` of their centers."""
-    return with_nodes(cells)

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def values_at(places: DataFrame, cells: DataFrame, layer: str, key: str = "query_id", nodata: float | None = None) -> DataFrame:
+def values_at(places: DataFrame, cells: DataFrame, layer: str, key: str = "query_id", nodata: float | None = None, resolutions: list[float] | None = None) -> DataFrame:
     """``(key, x, y, resolution, value)``: the value of the finest cell that has one, at each place; none gives ``nodata``.
 
     A place has one cell index at each resolution, so this is an equality join
     on (resolution, index), with the handful of resolutions there are.  Places
     with null coordinates find nothing.  Repeated keys are answered once a row.
+    ``resolutions`` names those that ``cells`` may have, where they are known,
+    as those of a grid are; else they are looked for first.
     """
-    resolutions = [r.resolution for r in cells.select("resolution").distinct().orderBy("resolution").limit(65).collect()]
+    if resolutions is None:
+        resolutions = [r.resolution for r in cells.select("resolution").distinct().orderBy("resolution").limit(65).collect()]
     if len(resolutions) > 64:
         raise ValueError("more resolutions than powers of two make sense")
     if not resolutions:

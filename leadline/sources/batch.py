@@ -8,11 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLUMNS = ("x", "y", "z", "tvu", "thu")
 _TYPES = {"x": "double", "y": "double", "z": "float", "tvu": "float", "thu": "float"}
 
 
+def schema_of(columns: list[str]) -> T.StructType:
+    """The stored columns of points, in their types, with container and leaf tile."""
+    kinds = [*[(c, T.DoubleType() if _TYPES[c] == "double" else T.FloatType()) for c in COLUMNS if c in columns], ("container", T.StringType()), ("tile_x", T.DoubleType()), ("tile_y", T.DoubleType())]
+    return T.StructType([T.StructField(c, t) for c, t in kinds])
+
+
 def to_frame(spark: SparkSession, data) -> DataFrame:
     """The columns x, y, z and, if there are any, tvu and thu, in their types; others are dropped.
 

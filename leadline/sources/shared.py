@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +16,17 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder
-    is set and used.
+    Only where that is unset and all runs in one process, as in tests, a
+    temporary folder is set and used; on a cluster that is an error, because
+    executors would write to disks of their own.  Checkpoints that nothing
+    refers to any more are deleted.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"leadline-{uuid.uuid4().hex}")
         sc.setCheckpointDir(f"file://{root}")
         root = sc.getCheckpointDir()
@@ -60,6 +66,8 @@ def _sweep() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
+            elif path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
     _written.clear()

@@ -20,10 +20,7 @@ def ingest(points: DataFrame, grid, prefix: str, checkpoint: str, regrid: bool =
     def add(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        name = f"{prefix}__{number}"
-        if name in grid.containers:
-            grid.remove_points(name)
-        grid.add_points(batch, name)
+        grid.replace_points(batch, f"{prefix}__{number}")
         if regrid:
             grid.grid(regrid_option="update" if not grid.no_grid else "full", **gridding)
 

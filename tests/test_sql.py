@@ -2,10 +2,10 @@
 
 import pytest
 
-from leadline.plans import problems, survey
+from leadline.plans import objects, problems, survey
 
-SQL = {**problems.SQL, **survey.SQL}
-QUERIES = {**problems.QUERIES, **survey.QUERIES}
+SQL = {**problems.SQL, **survey.SQL, **objects.SQL}
+QUERIES = {**problems.QUERIES, **survey.QUERIES, **objects.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
