@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.heavy import heavy_keys, per_key
+from ..operators.heavy import heavy_keys, per_key, skew_join
 from ..operators.near import near_counts, near_pairs_in_regions, points_in_regions
 from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from ..operators.spikes import flag_implausible
@@ -76,8 +76,21 @@ def p6_key_stats(spark: SparkSession, folder: str) -> DataFrame:
     z = F.col("z").cast("double")
     finite = ~F.isnan(z) & (F.abs(z) < F.lit(float("inf")))
     aggregates = [F.count("*").alias("n_rows"), F.round(F.avg(F.when(finite, z)), 3).alias("mean_z"), F.min(F.when(~F.isnan(z), z)).alias("least_z")]
-    kinds = [per_key(points, key, aggregates, HEAVY_SHARE).withColumn("key_kind", F.lit(kind)) for kind, key in _point_keys().items()]
-    return kinds[0].unionByName(kinds[1]).select("key_kind", "key_name", "n_rows", "mean_z", "least_z", "is_heavy")
+    return per_key(points, _point_keys(), aggregates, HEAVY_SHARE)
+
+
+def p6_key_shoals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every container and every cell that are shoaler than its mean: each row meets its key's mean by a skew join."""
+    z = F.col("z").cast("double")
+    points = table(spark, folder, "points").where(~F.isnan(z) & (F.abs(z) < F.lit(float("inf"))))
+    found = None
+    for kind, key in _point_keys().items():
+        rows = points.select(key.cast("string").alias("key_name"), z.alias("z")).where("key_name is not null")
+        means = per_key(rows, {kind: F.col("key_name")}, [F.round(F.avg("z"), 3).alias("mean_z")], HEAVY_SHARE).select("key_name", "mean_z")
+        met = skew_join(rows, means, "key_name", HEAVY_SHARE)
+        one = met.groupBy("key_name").agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("z") < F.col("mean_z"), 1)).alias("n_shoaler")).select(F.lit(kind).alias("key_kind"), "key_name", "n_rows", "n_shoaler")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_near_counts": p3_near_counts,
     "p6_found": p6_found,
     "p6_key_stats": p6_key_stats,
+    "p6_key_shoals": p6_key_shoals,
 }
 
 _KEYS = """(select 'container' as key_kind, container as key_name, z from points
@@ -130,6 +144,9 @@ SQL: dict[str, str] = {
   select point_id, coalesce(n, 0) as n_near from pts left join counted using (point_id)""",
     "p6_found": f"""select key_kind, key_name from {_KEYS} where key_name is not null group by 1, 2
   having count(*) >= 0.02 * (select count(*) from points)""",
+    "p6_key_shoals": f"""with k as (select key_kind, key_name, cast(z as double) as z from {_KEYS} where key_name is not null and isfinite(z)),
+  m as (select key_kind, key_name, round(avg(z), 3) as mean_z from k group by 1, 2)
+  select key_kind, key_name, count(*) as n_rows, count(*) filter (where z < mean_z) as n_shoaler from k join m using (key_kind, key_name) group by 1, 2""",
     "p6_key_stats": f"""select key_kind, key_name, count(*) as n_rows,
   round(avg(cast(z as double)) filter (where isfinite(z)), 3) as mean_z,
   min(cast(z as double)) filter (where not isnan(z)) as least_z,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.operators.heavy import heavy_keys, per_key
+from leadline.operators.heavy import heavy_keys, per_key, skew_join
 from leadline.operators.near import Quadtree, RTree, near_counts, near_pairs, near_pairs_in_regions, points_in_regions
 from leadline.operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from leadline.operators.spikes import flag_implausible, forward_backward
@@ -104,7 +104,7 @@ def test_heavy_keys(spark):
     assert [tuple(r) for r in heavy_keys(df, {"key": F.col("key")}, 0.4).collect()] == [("key", "big", 400)]
     assert heavy_keys(df, {"key": F.col("key")}, 0.41).collect() == []
     assert heavy_keys(df.limit(0), {"key": F.col("key")}, 0.1).collect() == []
-    got = {r.key_name: (r.n, r.is_heavy) for r in per_key(df.withColumnRenamed("v", "is_v").withColumn("n", F.lit(1)), F.col("key"), [F.count("*").alias("n")], 0.1).collect()}
+    got = {r.key_name: (r.n, r.is_heavy) for r in per_key(df.withColumnRenamed("v", "is_heavy").withColumn("n", F.lit(1)), {"key": F.col("key")}, [F.count("*").alias("n")], 0.1).collect()}
     assert got["big"] == (400, True) and got["k7"] == (1, False) and len(got) == 501
     with pytest.raises(ValueError):
         heavy_keys(df, {"key": F.col("key")}, 0)
@@ -112,11 +112,50 @@ def test_heavy_keys(spark):
 
 def test_per_key_counts_null_keys_in_the_base(spark):
     df = spark.createDataFrame([("big",)] * 400 + [(f"k{i}",) for i in range(500)] + [(None,)] * 100, "key string").repartition(3)
-    flag = lambda share: {r.key_name: r.is_heavy for r in per_key(df, F.col("key"), [F.count("*").alias("n")], share).collect()}
+    flag = lambda share: {r.key_name: r.is_heavy for r in per_key(df, {"key": F.col("key")}, [F.count("*").alias("n")], share).collect()}
     got = flag(0.42)  # 44 % of the rows with a key, 40 % of all
     assert not any(got.values()) and len(got) == 501 and flag(0.4)["big"]
 
 
+def test_heavy_keys_of_a_tiny_share(spark):
+    df = spark.range(300_000).select(F.when(F.col("id") < 12, F.lit("some")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    assert [tuple(r) for r in heavy_keys(df, {"key": F.col("key")}, 4e-5).collect()] == [("key", "some", 12)]
+    assert heavy_keys(df, {"key": F.col("key")}, 4.1e-5).collect() == []
+
+
+def skewed(spark, n=40_000):
+    return spark.range(n).select(F.when(F.col("id") % 10 < 9, F.lit("big")).otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("key"), F.col("id").alias("v")).repartition(8)
+
+
+def test_per_key_of_lists_is_salted_or_refused(spark):
+    df, lists = skewed(spark), [F.collect_list("v").alias("v"), F.countDistinct("v").alias("n")]
+    for refused in (lists, [F.percentile("v", 0.5).alias("p")], [F.collect_set("v").alias("s")]):
+        with pytest.raises(ValueError):
+            per_key(df, {"key": F.col("key")}, refused, 0.1)
+    lists = [F.collect_list("v").alias("v")]
+    got = {r.key_name: (sorted(r.v), r.is_heavy) for r in per_key(df, {"key": F.col("key")}, lists, 0.1, merge=[F.flatten(F.collect_list("v")).alias("v")]).collect()}
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.key, []).append(r.v)
+    assert {k: v for k, (v, _) in got.items()} == {k: sorted(v) for k, v in want.items()} and [k for k, (_, h) in got.items() if h] == ["big"]
+    # No part of the heavy key is more than twice the middle one.
+    parts = [r["count"] for r in df.where("key = 'big'").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(64))).groupBy("_part").count().collect()]
+    assert len(parts) == 64 and max(parts) <= 2 * sorted(parts)[32]
+
+
+def test_skew_join_against_brute_force(spark):
+    left = skewed(spark, 3000).unionByName(spark.createDataFrame([(None, 1), ("lonely", 2)], "key string, v long"))
+    right = spark.createDataFrame([("big", 1.0), ("big", 2.0), ("k1", 3.0), ("k9", 4.0), (None, 5.0), ("unused", 6.0)], "key string, w double")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "key", how).select("key", "v", "w").collect()))
+        for most in (100, 1):  # by broadcast, and salted
+            assert sorted(map(str, skew_join(left, right, "key", 0.2, how, salt=5, broadcast_rows=most).select("key", "v", "w").collect())) == want
+    assert skew_join(left.limit(0), right, "key", 0.2).count() == 0 == skew_join(left, right.limit(0), "key", 0.2).count()
+    for bad in ({"how": "outer"}, {"right": right.withColumn("v", F.lit(1))}):
+        with pytest.raises(ValueError):
+            skew_join(left, bad.get("right", right), "key", 0.2, bad.get("how", "inner"))
+
+
 FILES = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("grid_name", T.StringType()), T.StructField("tile_name", T.StringType()), T.StructField("layer", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("record_ids", T.ArrayType(T.LongType())), T.StructField("bucket", T.StringType())])
 
 
