@@ -45,6 +45,14 @@ def p2_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return index.groupBy("grid_name", "tile_name", "layer").agg(F.count("*").alias("n_files"), F.sum(F.col("length") / 8).cast("bigint").alias("n_records"), F.countDistinct("bucket").alias("n_blocks"))
 
 
+def p2_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Single files looked up in the archive by path, whose bytes and checksum must be those they came with: every file whose id is divisible by 50."""
+    files = table(spark, folder, "tile_files")
+    asked = files.where(F.col("file_id") % 50 == 0).select(F.col("file_path").alias("path"))
+    found = archive_files(files).lookup(asked)
+    return found.select("path", F.array_join(decode_ids(F.col("content")).cast("array<string>"), ",").alias("records"), (F.sha2("content", 256) == F.col("checksum")).alias("sound"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Soundings of different containers at most ``NEAR_METERS`` apart, with each area both lie in."""
     return near_pairs_in_regions(table(spark, folder, "points"), table(spark, folder, "areas"), NEAR_METERS)
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_consolidated": p2_consolidated,
     "p2_blocks": p2_blocks,
+    "p2_lookup": p2_lookup,
     "p3_found": p3_found,
     "p3_areas": p3_areas,
     "p3_near_counts": p3_near_counts,
@@ -126,6 +135,7 @@ SQL: dict[str, str] = {
   select distinct file_id from (select a.file_id, b.file_id as other from e a join e b using (grid_name, tile_name, layer, id)
   where a.file_id <> b.file_id and (b.n > a.n or (b.n = a.n and b.file_id < a.file_id)) group by 1, 2, a.n having count(*) = a.n)""",
     "p2_consolidated": "select distinct grid_name, tile_name, layer, unnest(record_ids) as record_id from tile_files",
+    "p2_lookup": "select file_path as path, coalesce(array_to_string(record_ids, ','), '') as records, true as sound from tile_files where file_id % 50 = 0",
     "p2_blocks": """select grid_name, tile_name, layer, count(*) as n_files, cast(sum(len(record_ids)) as bigint) as n_records,
   greatest(1, cast(ceil(sum(len(record_ids)) * 8 / 33554432.0) as bigint)) as n_blocks from tile_files group by 1, 2, 3""",
     "p3_areas": f"with {_INSIDE} select point_id, area_id from inside",

@@ -181,6 +181,26 @@ def test_files_with_nulls_repeats_and_other_groups(spark):
     assert nothing_added(df.limit(0)) == []
 
 
+def test_files_of_one_path_are_all_kept(spark):
+    df = files(spark, [1, 2], [3, 4], [3]).withColumn("file_path", F.lit("same"))
+    got = [r.id for r in consolidate(df).contents().select(F.explode(decode_ids(F.col("content"))).alias("id")).collect()]
+    assert sorted(got) == [1, 2, 3, 4] and nothing_added(df) == [3]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 512])  # a group in one block, and in many
+def test_nested_and_popular_files(spark, block_bytes):
+    rng = random.Random(9)
+    chain = [list(range(k)) for k in range(1, 60)]
+    popular = [[900, 901, *rng.sample(range(1000, 1040), 6)] for _ in range(80)]
+    lists = chain + popular + [[1, 2, 3], [900, 901], [], [77, 900]]
+    want = [i + 1 for i, a in enumerate(lists) if a and any(j != i and set(a) <= set(b) and (len(set(b)), -j) > (len(set(a)), -i) for j, b in enumerate(lists))]
+    a = archive_files(files(spark, *lists), block_bytes=block_bytes)
+    assert sorted(r.key for r in files_adding_nothing(a).collect()) == want and (a.blocks().count() > 1) == (block_bytes == 512)
+    c = consolidate(files(spark, *lists), block_bytes=block_bytes)
+    got = [r.id for r in c.contents().select(F.explode(decode_ids(F.col("content"))).alias("id")).collect()]
+    assert sorted(got) == sorted({x for ids in lists for x in ids})
+
+
 def test_consolidated_records_once(spark):
     a = consolidate(files(spark, [1, 2, 3], [3, 4], [2], [5, 5]))
     got = [r.id for r in a.contents().select(F.explode(decode_ids(F.col("content"))).alias("id")).collect()]
@@ -197,12 +217,15 @@ def test_archive_round_trip(spark):
     assert a.verify().isEmpty() and 1 < a.blocks().count() < 40
     assert [r.path for r in a.lookup(spark.createDataFrame([("f3",), ("none",)], "path string")).collect()] == ["f3"]
     assert pack(df.limit(0), "path", "content", ["g"]).index().count() == 0
+    twice = spark.createDataFrame([("p", bytearray(b"one"), "g"), ("p", bytearray(b"two"), "g")], "path string, content binary, g string")
+    assert sorted(bytes(r.content) for r in pack(twice, "path", "content", ["g"]).contents().collect()) == [b"one", b"two"]
 
 
 def test_ids_as_bytes(spark):
     ids = [0, 1, -1, 2**62, -(2**63), 255]
-    df = spark.createDataFrame([(ids,), ([],)], "ids array<bigint>")
-    assert [r.d for r in df.select(decode_ids(encode_ids(F.col("ids"))).alias("d")).collect()] == [ids, []]
+    df = spark.createDataFrame([(ids,), ([],), (None,), ([None, 7],)], "ids array<bigint>")
+    assert [r.d for r in df.select(decode_ids(encode_ids(F.col("ids"))).alias("d")).collect()] == [ids, [], [], [7]]
+    assert bytes(df.select(encode_ids(F.col("ids")).alias("c")).first().c[:16]) == bytes(15) + b"\x01"
 
 
 POINTS = T.StructType([T.StructField("point_id", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("container", T.StringType()), T.StructField("_leaf", T.StringType())])
