@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import to_mm
@@ -29,6 +29,7 @@ from .neighbors import halo_points
 
 CUBE = "cube"
 BLOCK = 8  # nodes a side
+PART = 128  # nodes a side of what is chosen from together
 
 #: Fixed values of the published method: length of the median queue, share of
 #: the depth within which a sounding is taken in and the least such distance,
@@ -163,6 +164,54 @@ def hypotheses(nodes: Nodes) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "depth": nodes.mean[node, h], "var": nodes.var[node, h], "size": n.astype(np.int64), "spread": nodes.square[node, h] / np.maximum(n - 1, 1)})
 
 
+def _rings() -> list[list[tuple[int, int]]]:
+    """The steps to the nodes of a context, those of equal distance together, the nearest first."""
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for i in range(-CONTEXT, CONTEXT + 1):
+        for j in range(-CONTEXT, CONTEXT + 1):
+            steps.setdefault(i * i + j * j, []).append((i, j))
+    return [steps[d] for d in sorted(steps)]
+
+
+def _guides(row: np.ndarray, col: np.ndarray, at_row: np.ndarray, at_col: np.ndarray, depth: np.ndarray, var: np.ndarray, mean: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each (row, col), depth and variance of the nearest node with a single hypothesis, or with ``mean`` the mean depth of all in the context; NaN if there are none.
+
+    Of equally near ones the shoalest counts.  ``at_row`` ... are the nodes
+    with a single hypothesis.
+    """
+    r0, c0 = int(row.min()) - CONTEXT, int(col.min()) - CONTEXT
+    shape = int(row.max()) + CONTEXT + 1 - r0, int(col.max()) + CONTEXT + 1 - c0
+    ok = (at_row >= r0) & (at_row < r0 + shape[0]) & (at_col >= c0) & (at_col < c0 + shape[1])
+    d, v = np.full(shape, np.nan), np.full(shape, np.nan)
+    d[at_row[ok] - r0, at_col[ok] - c0], v[at_row[ok] - r0, at_col[ok] - c0] = depth[ok], var[ok]
+    y, x = row - r0, col - c0
+    guide, spread = np.full(len(row), np.nan), np.full(len(row), np.nan)
+    if mean:
+        total, count = np.zeros(len(row)), np.zeros(len(row))
+        for ring in _rings():
+            for i, j in ring:
+                z = d[y + i, x + j]
+                there = ~np.isnan(z)
+                total[there] += z[there]
+                count += there
+        guide[count > 0] = total[count > 0] / count[count > 0]
+        return guide, spread
+    left = np.arange(len(row))
+    for ring in _rings():
+        if not len(left):
+            break
+        i, j = np.array(ring).T
+        z = d[y[left, None] + i, x[left, None] + j]
+        z = np.where(np.isnan(z), np.inf, z)
+        k = np.argmin(z, axis=1)
+        got = np.isfinite(z[np.arange(len(left)), k])
+        a = left[got]
+        guide[a] = z[got, k[got]]
+        spread[a] = v[y[a] + i[k[got]], x[a] + j[k[got]]]
+        left = left[~got]
+    return guide, spread
+
+
 def choose(hyp: pd.DataFrame, method: str = "local", variance: str = "cube") -> pd.DataFrame:
     """One hypothesis for each node: ``(row, col, depth, total_uncertainty, hypothesis_count, hypothesis_ratio)``.
 
@@ -174,25 +223,22 @@ def choose(hyp: pd.DataFrame, method: str = "local", variance: str = "cube") ->
     the less soundings favor the chosen one.
     """
     hyp = hyp.sort_values(["row", "col", "size", "depth"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
-    row, col, size, depth = (hyp[c].to_numpy() for c in ("row", "col", "size", "depth"))
-    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])])
+    row, col, size, depth, var = (hyp[c].to_numpy() for c in ("row", "col", "size", "depth", "var"))
+    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])]) if len(hyp) else np.zeros(0, np.int64)
     count = np.diff(np.r_[begin, len(hyp)])
     picked = begin.copy()  # the one with most soundings
-    if method != "prior" and (count > 1).any():
-        alone = begin[count == 1]
-        place = {}
-        for a in alone:
-            place[row[a], col[a]] = (depth[a], hyp["var"].to_numpy()[a])
-        for b, n in zip(begin[count > 1], count[count > 1], strict=True):
-            around = [(i * i + j * j, *place[row[b] + i, col[b] + j]) for i in range(-CONTEXT, CONTEXT + 1) for j in range(-CONTEXT, CONTEXT + 1) if (row[b] + i, col[b] + j) in place]
-            if not around:
-                continue
-            _, guide, spread = min(around)
-            if method == "predict":
-                guide = float(np.mean([g for _, g, _ in around]))
-            d = np.abs(depth[b : b + n] - guide)
-            score = -d if method != "posterior" else np.log(size[b : b + n]) - 0.5 * d**2 / (hyp["var"].to_numpy()[b : b + n] + spread)
-            picked[np.searchsorted(begin, b)] = b + int(np.argmax(score))
+    several = np.flatnonzero(count > 1)
+    if method != "prior" and len(several):
+        alone, first = begin[count == 1], begin[several]
+        guide, spread = _guides(row[first], col[first], row[alone], col[alone], depth[alone], var[alone], method == "predict")
+        n = count[several]
+        at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        far = np.abs(depth[at] - np.repeat(guide, n))
+        score = -far if method != "posterior" else np.log(size[at]) - 0.5 * far**2 / (var[at] + np.repeat(spread, n))
+        owner = np.repeat(np.arange(len(several)), n)
+        best = np.lexsort((at, -score, owner))[np.cumsum(n) - n]
+        told = ~np.isnan(guide)
+        picked[several[told]] = at[best[told]]
     total = np.add.reduceat(size, begin) if len(begin) else np.zeros(0)
     rest = total - size[picked]
     ratio = np.where(count == 1, 0.0, np.clip(5.0 - size[picked] / np.maximum(rest, 1), 0.0, 5.0))
@@ -244,7 +290,10 @@ def cube_cells(keyed: DataFrame, leaf: float, prefix: str = "tile", parameters:
             yield found.assign(row=i + node // raster.n_cols, col=j + node % raster.n_cols, **{k: f[k] for k in keys})[[*keys, "row", "col", "depth", "var", "size", "spread"]]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return choose(pdf, method, variance).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "row", "col", "depth", "total_uncertainty", "hypothesis_count", "hypothesis_ratio"]]
+        f = pdf.iloc[0]
+        found = choose(pdf, method, variance).assign(**{k: f[k] for k in keys})
+        own = (found["row"] // PART == f["_pi"]) & (found["col"] // PART == f["_pj"])
+        return found.loc[own, [*keys, "row", "col", "depth", "total_uncertainty", "hypothesis_count", "hypothesis_ratio"]]
 
     key_types = ", ".join(f"{k} double" for k in keys) + ", row int, col int"
     # From south to north, west to east, so that the result doesn't depend on how soundings were stored; a
@@ -252,8 +301,12 @@ def cube_cells(keyed: DataFrame, leaf: float, prefix: str = "tile", parameters:
     whole = [*keys, "_bi", "_bj"]
     blocks = blocks.repartition(*whole).sortWithinPartitions(*whole, "y", "x", "z", "tvu", "thu")
     hyp = blocks.groupBy(*whole).applyInPandas(block, f"{key_types}, depth double, var double, size bigint, spread double")
-    # A tile's hypotheses: a few short rows a node.
-    nodes = hyp.groupBy(*keys).applyInPandas(pick, f"{key_types}, depth double, total_uncertainty double, hypothesis_count bigint, hypothesis_ratio double")
+    # Parts of a tile choose by themselves: each with the single hypotheses within the context of its border.
+    hyp = hyp.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "row", "col")))
+    near = lambda c: F.sequence(F.floor((F.col(c) - F.when(F.col("_n") == 1, CONTEXT).otherwise(0)) / PART), F.floor((F.col(c) + F.when(F.col("_n") == 1, CONTEXT).otherwise(0)) / PART))
+    most = F.ceil(F.lit(leaf) / F.col("resolution") / PART) - 1
+    parts = hyp.withColumn("_pi", F.explode(near("row"))).where(F.col("_pi").between(0, most)).withColumn("_pj", F.explode(near("col"))).where(F.col("_pj").between(0, most))
+    nodes = parts.groupBy(*keys, "_pi", "_pj").applyInPandas(pick, f"{key_types}, depth double, total_uncertainty double, hypothesis_count bigint, hypothesis_ratio double")
     nodes = nodes.withColumns({c: to_mm(F.col(c)) for c in ("depth", "total_uncertainty", "hypothesis_ratio")})
     density = with_cells(keyed, prefix).groupBy(*keys, "row", "col").agg(F.count("*").alias("density"))
     return nodes.join(density, [*keys, "row", "col"], "full").withColumn("density", F.coalesce("density", F.lit(0)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.heavy import heavy_keys, per_key, skew_join
-from ..operators.near import near_counts, near_pairs_in_regions, points_in_regions
+from ..operators.near import near_counts, near_pairs, near_pairs_in_regions, points_in_regions
 from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from ..operators.spikes import flag_implausible
 from ..sources.archive import decode_ids
@@ -16,6 +16,8 @@ from ..sources.tables import table
 
 HEAVY_SHARE = 0.02
 NEAR_METERS = 0.3503
+#: Soundings this close are pairs wherever they lie; at crowded spots pairs grow as the square of the table, so wider ones are counted (p3_near_counts), not listed.
+TOUCHING_METERS = 0.05
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +70,11 @@ def p3_near_counts(spark: SparkSession, folder: str) -> DataFrame:
     return near_counts(table(spark, folder, "points"), NEAR_METERS)
 
 
+def p3_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Soundings of different containers at most ``TOUCHING_METERS`` apart, inside areas or not."""
+    return near_pairs(table(spark, folder, "points"), TOUCHING_METERS)
+
+
 def _point_keys() -> dict:
     cell = F.when(F.col("cell_index") != -1, F.concat(F.col("tile_name"), F.lit("/"), F.col("cell_index")))
     return {"container": F.col("container"), "cell": cell}
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_areas": p3_areas,
     "p3_near_counts": p3_near_counts,
+    "p3_near_pairs": p3_near_pairs,
     "p6_found": p6_found,
     "p6_key_stats": p6_key_stats,
     "p6_key_shoals": p6_key_shoals,
@@ -152,6 +160,11 @@ SQL: dict[str, str] = {
   counted as (select a.point_id, count(*) as n from around a join binned b on a.nx = b.bx and a.ny = b.by_
   where a.container <> b.container and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR_METERS} * {NEAR_METERS} group by 1)
   select point_id, coalesce(n, 0) as n_near from pts left join counted using (point_id)""",
+    "p3_near_pairs": f"""with pts as (select distinct point_id, x, y, container from points where x is not null and y is not null and container is not null),
+  binned as (select *, floor(x / {TOUCHING_METERS}) as bx, floor(y / {TOUCHING_METERS}) as by_ from pts),
+  around as (select b.*, bx + dx as nx, by_ + dy as ny from binned b, (values (-1), (0), (1)) s(dx), (values (-1), (0), (1)) t(dy))
+  select a.point_id as point_id_a, b.point_id as point_id_b from around a join binned b on a.nx = b.bx and a.ny = b.by_
+  where a.point_id < b.point_id and a.container <> b.container and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {TOUCHING_METERS} * {TOUCHING_METERS}""",
     "p6_found": f"""select key_kind, key_name from {_KEYS} where key_name is not null group by 1, 2
   having count(*) >= 0.02 * (select count(*) from points)""",
     "p6_key_shoals": f"""with k as (select key_kind, key_name, cast(z as double) as z from {_KEYS} where key_name is not null and isfinite(z)),

@@ -272,13 +272,13 @@ _AT = f"""g as (select resolution, floor(tile_x / resolution) + col as gx, floor
 @_add("lookup_xy_single_res", f"{_SR}, {_Q}, {_AT}")
 def lookup_xy_single_res(spark, folder):
     """Depth at places, from cells of one size."""
-    return lookup.values_at(_places(spark, folder), _sr(spark, folder), "depth", nodata=NODATA)
+    return lookup.values_at(_places(spark, folder), _sr(spark, folder), "depth", nodata=NODATA, resolutions=[FIXED])
 
 
 @_add("lookup_xy_multi_res", f"{_VR}, {_Q}, {_AT}")
 def lookup_xy_multi_res(spark, folder):
     """Depth at places, from the finest cell that has one."""
-    return lookup.values_at(_places(spark, folder), _vr(spark, folder), "depth", nodata=NODATA)
+    return lookup.values_at(_places(spark, folder), _vr(spark, folder), "depth", nodata=NODATA, resolutions=[r for r in R.RESOLUTIONS if r <= LEAF])
 
 
 @_add("layer_nodata", f"""{_SR}, k as (select tile_x, tile_y, row, col, vertical_uncertainty as v from c where density > 1)
@@ -381,11 +381,10 @@ def dirty_tile_update(spark, folder):
     before = every.where(F.col("container") != _ONE)
     batch = every.where((F.col("container") == _ONE) & (F.col("x") < 300))
     old = C.variable_resolution(before, leaf=LEAF)
-    after = with_tiles(before.unionByName(batch), LEAF)
     dirty = with_tiles(batch, LEAF).select("tile_x", "tile_y").distinct()
-    touched = after.join(dirty, ["tile_x", "tile_y"], "left_semi")
+    touched = with_tiles(before.unionByName(batch), LEAF).join(dirty, ["tile_x", "tile_y"], "left_semi")
     new = C.aggregate_cells(C.with_resolution(touched, C.leaf_resolutions(touched, LEAF, "depth")), "mean", LEAF)
-    return C.merge_cells(old, new, after, dirty, clear=False)
+    return C.merge_cells(old, new, touched, dirty, clear=False)
 
 
 @_add("tile_neighbors", f"""with {_P}, {_tiled(LEAF)}, d as (select distinct tile_x, tile_y from t),
@@ -463,10 +462,20 @@ def plane_slopes_query(spark, folder):
     return plane_slopes(tiled).join(sound.select(*keys), keys, "left_semi").select(*keys, six("x_slope"), six("y_slope"))
 
 
-@_add("plane_slopes_all")
+@_add("plane_slopes_all", f"""with {_P}, {_tiled(TILE)}, r as (select *, 4.0::double as resolution from t),
+  k0 as (select *, {_CELL.replace('tile_x, tile_y, resolution, ', '')} from r),
+  k as (select tile_x, tile_y, resolution, row, col, count(*) as n, var_pop(x - tile_x - col * 4.0::double) as uu, var_pop(y - tile_y - row * 4.0::double) as vv, covar_pop(x - tile_x - col * 4.0::double, y - tile_y - row * 4.0::double) as uv,
+    covar_pop(x - tile_x - col * 4.0::double, z) as uz, covar_pop(y - tile_y - row * 4.0::double, z) as vz, avg(x) as p, avg(y) as q, avg(z) as z from k0 group by all),
+  g as (select *, n >= 3 and uu * vv - uv * uv > uu * vv * 1e-9 and uu * vv - uv * uv > 0 as good, uu + vv as spread, atan2(case when uu >= vv then uv else vv end, case when uu >= vv then uu else uv end) as angle, p * p + q * q + 1 as r from k),
+  h as (select *, cos(angle) as e, sin(angle) as f, cos(angle) * p + sin(angle) * q as m, (cos(angle) * uz + sin(angle) * vz) / nullif(spread, 0) as along from g),
+  w as (select *, case when spread > 0 then (z - m * along) / ((f * p - e * q) * (f * p - e * q) + 1) else z / r end as b from h)
+  select tile_x, tile_y, resolution, row, col,
+    round(case when good then (uz * vv - vz * uv) / (uu * vv - uv * uv) when spread > 0 then (along - m * b) * e + b * p else b * p end + 3e-8, 6) + 0.0 as x_slope,
+    round(case when good then (vz * uu - uz * uv) / (uu * vv - uv * uv) when spread > 0 then (along - m * b) * f + b * q else b * q end + 3e-8, 6) + 0.0 as y_slope from w""")
 def plane_slopes_all(spark, folder):
-    """Slopes of every cell; few points, or points on a line, give the solution of least norm."""
-    return plane_slopes(with_tiles(points(spark, folder), TILE).withColumn("resolution", F.lit(32.0)))
+    """Slopes of every cell of 4 m, to six decimals; few points, or points on a line, give the solution of least norm."""
+    found = plane_slopes(with_tiles(points(spark, folder), TILE).withColumn("resolution", F.lit(4.0)))
+    return found.withColumns({c: F.round(F.col(c) + F.lit(3e-8), 6) + F.lit(0.0) for c in ("x_slope", "y_slope")})  # off the ties, where engines differ
 
 
 @_add("grid_extents", f"""with {_P} select floor(min(x) / {TILE}) * {TILE} as min_x, floor(min(y) / {TILE}) * {TILE} as min_y,
@@ -562,6 +571,12 @@ def soundings_shoalest(spark, folder):
     return keyed.groupBy(*layers.KEYS).agg(F.min("z").alias("depth"), F.count("*").alias("density"))
 
 
+@_add("cube_density", f"{_VR} select tile_x, tile_y, resolution, row, col, density from c")
+def cube_density(spark, folder):
+    """Points in each node's cell, as the CUBE method counts them; nodes with an estimate but no point of their own have none."""
+    return _vr(spark, folder, CUBE).where("density > 0").select(*layers.KEYS, "density")
+
+
 @_add("cube_grid")
 def cube_grid(spark, folder):
     """Depth, uncertainty and hypotheses of each node, at the resolution that goes with the depth of each leaf tile."""

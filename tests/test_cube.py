@@ -80,3 +80,20 @@ def test_query_goes_by_depth(spark, data):
     own = lambda df: {tuple(r) for r in df.where("density > 0").select(*keys, "row", "col", "density").collect()}
     assert own(cells) == own(survey.vr_mean_auto_depth(spark, data))
     cells.unpersist()
+
+
+def test_parts_of_a_tile_choose_as_the_whole(spark, monkeypatch):
+    import leadline.operators.cube as cube
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    pdf = pd.DataFrame({"x": rng.random(n) * 64, "y": rng.random(n) * 64, "z": rng.choice([20.0, 26.0], n) + rng.standard_normal(n) * 0.05, "tvu": 0.01, "thu": 0.01})
+    points = spark.createDataFrame(pdf)
+    from leadline.operators import cells as C
+
+    got = []
+    for part in (128, 16):
+        monkeypatch.setattr(cube, "PART", part)
+        found = C.single_resolution(points, "cube", 2.0, tile_size=64.0)
+        got.append(sorted(map(tuple, found.select("row", "col", "depth", "hypothesis_count", "density").collect())))
+    assert got[0] == got[1] and len(got[0]) > 900 and any(r[3] > 1 for r in got[0])

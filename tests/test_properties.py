@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadline.operators.cube import Nodes
+from leadline.operators.cube import CONTEXT, Nodes, _guides
 from leadline.operators.near import Quadtree, RTree, in_ring
 from leadline.operators.spikes import _running_median, forward_backward
 
@@ -76,3 +76,21 @@ def test_every_sounding_is_in_the_queue_or_a_hypothesis(depths):
     nodes = Nodes(1)
     nodes.feed(np.zeros(len(depths), np.int64), np.array(depths), np.ones(len(depths)))
     assert nodes.size.sum() + nodes.held.sum() == len(depths)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.booleans())
+def test_guides_are_the_nearest_single_hypotheses(seed, mean):
+    rng = np.random.default_rng(seed)
+    alone = np.unique(rng.integers(0, 40, (rng.integers(0, 30), 2)), axis=0).reshape(-1, 2)
+    depth, var = rng.integers(1, 9, len(alone)) * 0.5, rng.random(len(alone))
+    at = rng.integers(0, 40, (8, 2))
+    guide, spread = _guides(at[:, 0], at[:, 1], alone[:, 0], alone[:, 1], depth, var, mean)
+    for (r, c), g, v in zip(at, guide, spread, strict=True):
+        around = [((a - r) ** 2 + (b - c) ** 2, d, w) for (a, b), d, w in zip(alone, depth, var, strict=True) if abs(a - r) <= CONTEXT and abs(b - c) <= CONTEXT]
+        if not around:
+            assert np.isnan(g)
+        elif mean:
+            assert np.isclose(g, np.mean([d for _, d, _ in around]))
+        else:
+            assert g == min(around)[1] and v in [w for x, d, w in around if (x, d) == min(around)[:2]]
