@@ -12,6 +12,7 @@ merge level by level; a group of few values is kept as it is, without error.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,11 @@ def rank_error(section: int = SECTION) -> float:
     return 3 * math.sqrt(0.0512 / _SECTIONS) / section
 
 
+def _coin(items: np.ndarray, state: int, level: int, low: bool) -> int:
+    """0 or 1, the same on every run, as good as independent from one compaction to the next."""
+    return zlib.crc32(items.tobytes(), state * 1_000_003 + level * 17 + low & 0xFFFFFFFF) >> 16 & 1
+
+
 class Sketch:
     """Compactors of one group; ``low`` protects the smallest values, else the largest."""
 
@@ -63,7 +69,8 @@ class Sketch:
                 held = length * count + max(0, count - trailing - 1) * length
                 held = min(held, len(items)) + ((len(items) - held) & 1)
                 moved = items[held:]
-                coin = (state * 0x9E3779B97F4A7C15 + (h + 1) * 0xBF58476D1CE4E5B9 + self.n) >> 17 & 1
+                # The coin hangs on the items, too: sketches of equal size must not all err to one side.
+                coin = _coin(items, state, h, self.low)
                 self.levels[h] = items[:held]
                 self.states[h] = state + 1
                 if h + 1 == len(self.levels):
@@ -102,7 +109,11 @@ def _quantiles(values: np.ndarray, weights: np.ndarray, q: list[float]) -> list[
     return values[order][np.minimum(at, len(c) - 1)].tolist()
 
 
-_FIELDS = "n bigint, level int, state bigint, items array<double>"
+#: What a row of a sketch holds: all values there were, or a level of a sketch that protects the smallest or the largest.
+RAW, LOW, HIGH = 0, 1, 2
+_FIELDS = "tail int, n bigint, level int, state bigint, items array<double>"
+#: Tails to keep; a quantile is read from the sketch that protects its side.
+TAILS = (LOW, HIGH)
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -110,7 +121,29 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _flush(t: pa.Table, names: list[str], section: int, low: bool) -> list[pa.RecordBatch]:
+def _batch(heads: pa.Table, rows: np.ndarray, tail, n, level, state, offsets, items) -> pa.RecordBatch:
+    columns = [c.combine_chunks() for c in heads.take(pa.array(rows, pa.int64())).columns]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items, pa.float64()))
+    rest = [pa.array(np.asarray(tail, np.int32)), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(level, np.int32)), pa.array(np.asarray(state, np.int64)), lists]
+    return pa.RecordBatch.from_arrays([*columns, *rest], [*heads.column_names, "tail", "n", "level", "state", "items"])
+
+
+def _raw(heads: pa.Table, rows: np.ndarray, size: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Rows of groups whose values are few enough to be kept."""
+    k = len(rows)
+    return _batch(heads, rows, np.full(k, RAW), size, np.zeros(k), np.zeros(k), np.r_[0, np.cumsum(size)], values)
+
+
+def _stacks(heads: pa.Table, sketches: list[tuple[int, Sketch]]) -> list[pa.RecordBatch]:
+    """Rows of whole sketches, each with the row of ``heads`` that names its group."""
+    rows = [(i, LOW if s.low else HIGH, s.n if h == 0 else 0, h, s.states[h], s.levels[h]) for i, s in sketches for h in range(len(s.levels))]
+    if not rows:
+        return []
+    i, tail, n, h, states, items = zip(*rows, strict=True)
+    return [_batch(heads, np.array(i), np.array(tail), np.array(n), np.array(h), np.array(states), np.r_[0, np.cumsum([len(x) for x in items])], np.concatenate(items))]
+
+
+def _flush(t: pa.Table, names: list[str], section: int, tails: tuple[int, ...]) -> list[pa.RecordBatch]:
     """Sketch rows of gathered values; groups that fit in a compactor go on as they are."""
     room = 2 * section * _SECTIONS
     codes = np.zeros(t.num_rows, np.int64)
@@ -123,37 +156,19 @@ def _flush(t: pa.Table, names: list[str], section: int, low: bool) -> list[pa.Re
     size = np.diff(np.r_[at, len(codes)])
     small = size <= room
     heads = t.select(names)
-    k = int(small.sum())
-    out = [_batch(heads, order[at[small]], size[small], np.zeros(k), np.zeros(k), np.r_[0, np.cumsum(size[small])], values[np.repeat(small, size)])]
-    large = []
-    for i in np.flatnonzero(~small):
-        large.append((order[at[i]], Sketch(section, low).add(values[at[i] : at[i] + size[i]])))
+    out = [_raw(heads, order[at[small]], size[small], values[np.repeat(small, size)])]
+    large = [(order[at[i]], Sketch(section, tail == LOW).add(values[at[i] : at[i] + size[i]])) for i in np.flatnonzero(~small) for tail in tails]
     return out + _stacks(heads, large)
 
 
-def _stacks(heads: pa.Table, sketches: list[tuple[int, Sketch]]) -> list[pa.RecordBatch]:
-    """Rows of whole sketches, each with the row of ``heads`` that names its group."""
-    rows = [(i, s.n if h == 0 else 0, h, s.states[h], s.levels[h]) for i, s in sketches for h in range(len(s.levels))]
-    if not rows:
-        return []
-    i, n, h, states, items = zip(*rows, strict=True)
-    return [_batch(heads, np.array(i), np.array(n), np.array(h), np.array(states), np.r_[0, np.cumsum([len(x) for x in items])], np.concatenate(items))]
-
-
-def _batch(heads: pa.Table, rows: np.ndarray, n, level, state, offsets, items) -> pa.RecordBatch:
-    columns = [c.combine_chunks() for c in heads.take(pa.array(rows, pa.int64())).columns]
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items, pa.float64()))
-    rest = [pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(level, np.int32)), pa.array(np.asarray(state, np.int64)), lists]
-    return pa.RecordBatch.from_arrays([*columns, *rest], [*heads.column_names, "n", "level", "state", "items"])
-
-
-def sketch(df: DataFrame, keys: dict[str, Column], value: Column, section: int = SECTION, low: bool = True) -> DataFrame:
-    """Sketches of ``value`` for every combination of ``keys``: ``(keys..., n, level, state, items)``, one row a level.
+def sketch(df: DataFrame, keys: dict[str, Column], value: Column, section: int = SECTION, tails: tuple[int, ...] = TAILS) -> DataFrame:
+    """Sketches of ``value`` for every combination of ``keys``: ``(keys..., tail, n, level, state, items)``, one row a level.
 
     Each task sketches what it reads before anything is shuffled, so a group
-    of any size arrives as one short sketch from every task.  Rows with a null
-    key, a null value or NaN take no part; infinite values count.  The result
-    can be stored and merged with others of the same ``section`` and ``low``.
+    of any size arrives as a short sketch for each of ``tails`` from every
+    task.  A group of few values is kept as it is.  Rows with a null key, a
+    null value or NaN take no part; infinite values count.  The result can be
+    stored and merged with others of the same ``section`` and ``tails``.
     """
     names = list(keys)
     rows = df.select(*[e.alias(c) for c, e in keys.items()], value.cast("double").alias("_v")).dropna()  # dropna drops NaN too
@@ -171,14 +186,14 @@ def sketch(df: DataFrame, keys: dict[str, Column], value: Column, section: int =
             yield from _gathered(held)
 
     def _gathered(held):
-        return _flush(pa.Table.from_batches(held), names, section, low)
+        return _flush(pa.Table.from_batches(held), names, section, tails)
 
-    return merge(rows.mapInArrow(partial, f"{fields}, {_FIELDS}"), names, section, low)
+    return merge(rows.mapInArrow(partial, f"{fields}, {_FIELDS}"), names, section, tails)
 
 
-def merge(sketches: DataFrame, keys: list[str], section: int = SECTION, low: bool = True) -> DataFrame:
-    """One sketch for every combination of ``keys``, from sketches of days, files or partitions."""
-    rows = sketches.select(*keys, "n", "level", "state", "items")
+def merge(sketches: DataFrame, keys: list[str], section: int = SECTION, tails: tuple[int, ...] = TAILS) -> DataFrame:
+    """The sketches of every combination of ``keys``, from those of days, files or partitions."""
+    rows = sketches.select(*keys, "tail", "n", "level", "state", "items")
     fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys)
     room = 2 * section * _SECTIONS
 
@@ -205,41 +220,47 @@ def merge(sketches: DataFrame, keys: list[str], section: int = SECTION, low: boo
         if last == 0:  # one group only, and it may go on
             return _squeeze(t, heads)
         at = at if final else at[:-1]
-        offsets, values, n, level, state = _arrays(t)
+        offsets, values, tail, n, level, state = _arrays(t)
         ends = np.r_[at[1:], last]
         size = offsets[ends] - offsets[at]
-        small = (np.maximum.reduceat(level[:last], at) == 0) & (size <= room)
+        small = (np.maximum.reduceat(tail[:last], at) == RAW) & (size <= room)
         keep = np.repeat(small, size)  # the groups' values follow each other
-        k = int(small.sum())
-        parts = [_batch(heads, at[small], np.add.reduceat(n[:last], at)[small], np.zeros(k), np.zeros(k), np.r_[0, np.cumsum(size[small])], values[offsets[0] : offsets[last]][keep])]
-        parts += _stacks(heads, [(at[g], _merged(range(at[g], ends[g]), n, level, state, offsets, values)) for g in np.flatnonzero(~small)])
+        parts = [_raw(heads, at[small], size[small], values[offsets[0] : offsets[last]][keep])]
+        parts += _stacks(heads, [(at[g], s) for g in np.flatnonzero(~small) for s in _merged(at[g], ends[g], tail, n, level, state, offsets, values)])
         return parts, None if final else t.slice(last)
 
     def _arrays(t: pa.Table):
         items = t.column("items").combine_chunks()
-        n, level, state = (t.column(c).to_numpy() for c in ("n", "level", "state"))
-        return items.offsets.to_numpy().astype(np.int64), items.values.to_numpy(), n, level, state
-
-    def _merged(rows, n, level, state, offsets, values) -> Sketch:
-        s, levels, states, count = Sketch(section, low), [], [], 0
-        for r in rows:
-            # Level 0 begins a sketch; its further levels follow.
-            if level[r] == 0 and levels:
+        tail, n, level, state = (t.column(c).to_numpy() for c in ("tail", "n", "level", "state"))
+        return items.offsets.to_numpy().astype(np.int64), items.values.to_numpy(), tail, n, level, state
+
+    def _merged(begin, end, tail, n, level, state, offsets, values) -> list[Sketch]:
+        """A group's sketches, one for each tail; values that were kept as they are go to all."""
+        every = {t: Sketch(section, t == LOW) for t in tails}
+        raw = [values[offsets[r] : offsets[r + 1]] for r in range(begin, end) if tail[r] == RAW]
+        for t, s in every.items():
+            levels, states, count = [], [], 0
+            for r in range(begin, end):
+                if tail[r] != t:
+                    continue
+                # Level 0 begins a sketch; its further levels follow.
+                if level[r] == 0 and levels:
+                    s.merge_levels(levels, states, count)
+                    levels, states, count = [], [], 0
+                levels.append(values[offsets[r] : offsets[r + 1]])
+                states.append(int(state[r]))
+                count += int(n[r])
+            if levels:
                 s.merge_levels(levels, states, count)
-                levels, states, count = [], [], 0
-            while len(levels) < level[r]:
-                levels.append(np.zeros(0))
-                states.append(0)
-            levels.append(values[offsets[r] : offsets[r + 1]])
-            states.append(int(state[r]))
-            count += int(n[r])
-        return s.merge_levels(levels, states, count) if levels else s
+            if raw:
+                s.add(np.concatenate(raw))
+        return list(every.values())
 
     def _squeeze(t: pa.Table, heads: pa.Table):
         """A group of very many sketches, merged so far and carried on as one."""
-        offsets, values, n, level, state = _arrays(t)
-        s = _merged(range(t.num_rows), n, level, state, offsets, values)
-        return [], pa.Table.from_batches(_stacks(heads, [(0, s)])).cast(t.schema)
+        offsets, values, tail, n, level, state = _arrays(t)
+        merged = _merged(0, t.num_rows, tail, n, level, state, offsets, values)
+        return [], pa.Table.from_batches(_stacks(heads, [(0, s) for s in merged])).cast(t.schema)
 
     # Rows of one sketch stay together in order of level: they come from one task, one after the other.
     rows = rows.withColumn("_from", F.monotonically_increasing_id())
@@ -247,32 +268,46 @@ def merge(sketches: DataFrame, keys: list[str], section: int = SECTION, low: boo
     return spread.mapInArrow(combine, f"{fields}, {_FIELDS}")
 
 
-def quantiles(sketches: DataFrame, keys: list[str], q: dict[str, float], section: int = SECTION, low: bool = True) -> DataFrame:
-    """``(keys..., n, names of q..., rank_error)`` from merged sketches.
+def quantiles(sketches: DataFrame, keys: list[str], q: dict[str, float], section: int = SECTION) -> DataFrame:
+    """``(keys..., n, names of q..., {name}_error..., rank_error)`` from merged sketches.
 
-    A quantile is the least value whose estimated rank reaches q * n.
-    ``rank_error`` bounds the error of a rank, as a share of that rank counted
-    from the protected end, at three standard deviations; 0 where the sketch
-    still holds every value.
+    A quantile is the least value whose estimated rank reaches q * n, read from
+    the sketch that protects its side: the smallest values up to the median,
+    the largest beyond, or the one there is.  ``rank_error`` bounds the error
+    of a rank, as a share of that rank counted from the protected end, at three
+    standard deviations; ``{name}_error`` tells it for each quantile as a
+    number of ranks.  All are 0 where every value is still held.
     """
-    rows = sketches.select(*keys, "n", "level", "items")
-    per_key = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("level").alias("_top"), F.collect_list(F.struct("level", "items")).alias("_l")))
-    fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys)
-    probs, error = list(q.values()), rank_error(section)
-
-    # Sketches that hold every value are read off in the JVM, the others in Python.
+    rows = sketches.select(*keys, "tail", "n", "level", "items")
+    per_key = cut(rows.groupBy(*keys).agg(F.sum(F.col("n")).alias("_n"), F.max("tail").alias("_tail"), F.countDistinct("tail").alias("_tails"), F.collect_list(F.struct("tail", "level", "items")).alias("_l")))
+    per_key = per_key.withColumn("n", (F.col("_n") / F.col("_tails")).cast("bigint"))  # each tail's sketch counts all
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    error = rank_error(section)
+    names = [*q, *[f"{c}_error" for c in q], "rank_error"]
+
+    # Groups that are held whole are read off in the JVM, the others in Python.
     ordered = F.array_sort(F.element_at("_l", 1)["items"])
     place = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") - F.lit(1e-9))).cast("int")
-    whole = per_key.where("_top = 0").withColumn("_s", ordered).select(*keys, "n", *[F.element_at("_s", place(p)).alias(c) for c, p in q.items()], F.lit(0.0).alias("rank_error"))
+    whole = per_key.where(F.col("_tail") == RAW).withColumn("_s", ordered).select(*keys, "n", *[F.element_at("_s", place(p)).alias(c) for c, p in q.items()], *[F.lit(0.0).alias(c) for c in names[len(q) :]])
 
     def read(batches):
         for pdf in batches:
             out = []
-            for levels in pdf["_l"]:
-                v = np.concatenate([np.asarray(x["items"]) for x in levels])
-                w = np.repeat([1 << x["level"] for x in levels], [len(x["items"]) for x in levels])
-                out.append(_quantiles(v, w, probs))
-            yield pdf[[*keys, "n"]].assign(**{c: [r[i] for r in out] for i, c in enumerate(q)}, rank_error=error)
-
-    rest = per_key.where("_top > 0").mapInPandas(read, f"{fields}, n bigint, " + ", ".join(f"`{c}` double" for c in q) + ", rank_error double")
+            for levels, n in zip(pdf["_l"], pdf["n"], strict=True):
+                sides = {}
+                for tail in {x["tail"] for x in levels}:
+                    mine = [x for x in levels if x["tail"] == tail]
+                    v = np.concatenate([np.asarray(x["items"]) for x in mine])
+                    w = np.repeat([1 << x["level"] for x in mine], [len(x["items"]) for x in mine])
+                    sides[tail] = (v, w)
+                found, wrong = [], []
+                for p in q.values():
+                    side = (LOW if p <= 0.5 else HIGH) if len(sides) > 1 else next(iter(sides))
+                    found += _quantiles(*sides[side], [p])
+                    wrong.append(error * n * (p if side == LOW else 1 - p))
+                out.append([*found, *wrong, error])
+            yield pdf[[*keys, "n"]].assign(**{c: [r[i] for r in out] for i, c in enumerate(names)})
+
+    rest = per_key.where(F.col("_tail") != RAW).select(*keys, "n", "_l").mapInPandas(read, f"{fields}, n bigint, " + ", ".join(f"`{c}` double" for c in names))
     return whole.unionByName(rest)

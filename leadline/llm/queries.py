@@ -12,7 +12,7 @@ from ..sources.tables import table
 from .mixing import mix
 from .packing import pack
 from .quality import prose, text_quality
-from .quantiles import merge, quantiles, sketch
+from .quantiles import SECTION, merge, quantiles, sketch
 from .tokens import n_tokens
 from .topn import cluster, top_n
 
@@ -42,6 +42,11 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles(merge(_daily(table(spark, folder, "points")), keys), keys, PERCENTILES)
 
 
+def p4_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentiles of the containers and cells whose sketches hold every value."""
+    return p4_percentiles(spark, folder).where("rank_error = 0").select("key_kind", "key_name", "n", *PERCENTILES)
+
+
 def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of z of each day of every container and every cell."""
     return quantiles(_daily(table(spark, folder, "points")), ["key_kind", "key_name", "day"], PERCENTILES)
@@ -93,6 +98,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_percentiles": p4_percentiles,
     "p4_daily": p4_daily,
+    "p4_exact": p4_exact,
     "p5_found": p5_found,
     "p7_packed": p7_packed,
     "p7_windows": p7_windows,
@@ -102,7 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_stats": p9_stats,
 }
 
+_EXACT = 2 * 3 * SECTION
+
 SQL: dict[str, str] = {
+    "p4_exact": f"""with s as (select distinct point_id, container, tile_name, cell_index, z from points where z is not null and not isnan(z) and ping_time is not null),
+  k as (select 'container' as key_kind, container as key_name, cast(z as double) as z from s where container is not null
+    union all select 'cell', tile_name || '/' || cast(cell_index as varchar), cast(z as double) from s where cell_index <> -1 and tile_name is not null),
+  l as (select key_kind, key_name, count(*) as n, list(z order by z) as v from k group by 1, 2 having count(*) <= {_EXACT})
+  select key_kind, key_name, n, {", ".join(f"v[greatest(1, cast(ceil({p} * n - 1e-9) as int))] as {c}" for c, p in PERCENTILES.items())} from l""",
     "p5_found": f"""select tile_name, cell_index, point_id from (
   select tile_name, cell_index, point_id, row_number() over (partition by tile_name, cell_index order by z, point_id) as r
   from (select distinct tile_name, cell_index, point_id, z from points where cell_index <> -1 and tile_name is not null and z is not null and not isnan(z)))

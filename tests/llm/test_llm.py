@@ -13,7 +13,7 @@ from leadline.llm import queries
 from leadline.llm.mixing import mix
 from leadline.llm.packing import difference, fill, pack
 from leadline.llm.quality import divergence, prose, text_quality
-from leadline.llm.quantiles import Sketch, merge, quantiles, rank_error, sketch
+from leadline.llm.quantiles import HIGH, LOW, Sketch, merge, quantiles, rank_error, sketch
 from leadline.llm.tokens import TOKENIZER, n_tokens
 from leadline.llm.topn import cluster, row_groups, to_read, top_n
 
@@ -80,6 +80,31 @@ def test_sketch_error_within_bound():
             assert abs(got - p * n) <= rank_error() * far * n + 2
 
 
+def test_bound_holds_for_many_merges_of_equal_sketches():
+    """200 sketches of one size, merged; several hundred trials: the bound is three standard deviations."""
+    rng = np.random.default_rng(12)
+    trials, parts, size = 320, 200, 250
+    n = parts * size
+    for low, probs in ((True, (0.01, 0.02, 0.05, 0.25, 0.5)), (False, (0.75, 0.95, 0.98, 0.99))):
+        off = []
+        for _ in range(trials):
+            s = Sketch(low=low)
+            for part in np.split(rng.permutation(n).astype(float), parts):
+                t = Sketch(low=low).add(part)
+                s.merge_levels(t.levels, t.states, t.n)
+            values = np.concatenate(s.levels)
+            weights = np.repeat([1 << h for h in range(len(s.levels))], [len(x) for x in s.levels])
+            order = np.argsort(values)
+            ranks = np.cumsum(weights[order])
+            # The estimated number of values below the one that has p n below it, in standard deviations of the stated bound.
+            at = np.searchsorted(values[order], np.array(probs) * n, side="left") - 1
+            far = np.array(probs) if low else 1 - np.array(probs)
+            off.append((np.where(at >= 0, ranks[at], 0) - np.array(probs) * n) / (rank_error() / 3 * far * n))
+        off = np.array(off)
+        assert (np.abs(off) > 3).mean(axis=0).max() <= 0.01
+        assert np.abs(off.mean(axis=0)).max() < 0.35 and off.std(axis=0).max() < 1.2
+
+
 def test_percentiles_by_key(spark):
     rng = random.Random(3)
     rows = [("hot", rng.gauss(0, 1), i % 7) for i in range(20_000)] + [(f"k{i % 500}", float(i), i % 3) for i in range(3000)]
@@ -93,11 +118,15 @@ def test_percentiles_by_key(spark):
         assert len(got) == 502 and got["odd"].n == 3 and got["odd"].p50 == 1.0 and got["odd"].p99 == math.inf
         for key, r in got.items():
             v = sorted(z for k, z, _ in rows if k == key and z is not None and not math.isnan(z))
-            assert r.n == len(v)
+            assert r.n == len(v) and (r.rank_error > 0) == (key == "hot")
             for name, p in q.items():
                 want = max(1, math.ceil(p * len(v) - 1e-9))
                 rank = np.searchsorted(v, r[name], side="right")
-                assert abs(rank - want) <= r.rank_error * want + (0 if r.rank_error else 0)
+                assert abs(rank - want) <= r[f"{name}_error"] <= r.rank_error * min(p, 1 - p) * len(v) + 1e-6
+    for tail, p in ((LOW, 0.01), (HIGH, 0.99)):
+        one = quantiles(sketch(df, {"key": F.col("key")}, F.col("z"), tails=(tail,)), ["key"], {"p": p}).where("key = 'hot'").first()
+        v = sorted(z for k, z, _ in rows if k == "hot")
+        assert one.n == 20_000 and abs(np.searchsorted(v, one.p, side="right") - p * 20_000) <= one.p_error + 1
     assert quantiles(sketch(df.limit(0), {"key": F.col("key")}, F.col("z")), ["key"], q).count() == 0
 
 
