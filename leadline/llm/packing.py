@@ -93,18 +93,51 @@ def exchange(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> np
     return at[: len(sizes)]
 
 
+def _least(sizes: np.ndarray, capacity: int) -> int:
+    """A number of windows that no filling can do with less than."""
+    # No two items over half the capacity share a window; what the rest must fill beside them adds to it.
+    large = sizes[2 * sizes > capacity]
+    left = capacity * len(large) - int(large.sum())
+    # Of items over a third, a window without a larger one takes two at most.
+    middle = sizes[(3 * sizes > capacity) & (2 * sizes <= capacity)]
+    beside = int(np.searchsorted(np.sort(capacity - large), middle.min(), side="left")) if len(middle) and len(large) else len(large)
+    alone = max(0, len(middle) - (len(large) - beside)) if len(middle) else 0
+    return max(1, -(-int(sizes.sum()) // capacity), len(large) + max(0, -(-(int(sizes.sum()) - int(large.sum()) - left) // capacity)), len(large) + -(-alone // 2))
+
+
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, as few windows as differencing can fill without exceeding ``capacity``; no item may exceed it."""
+    """The window of each item, as few windows as differencing can fill without exceeding ``capacity``; no item may exceed it.
+
+    The number of windows starts from a lower bound and rises in growing
+    steps until all fit; between the last number that failed and the first
+    that did, it is halved down.
+    """
     window = np.zeros(len(sizes), np.int64)
     some = np.flatnonzero(sizes > 0)
     part = sizes[some]
-    k = max(1, -(-int(part.sum()) // capacity))
-    while len(some):
+    if not len(some):
+        return window
+
+    def attempt(k: int) -> np.ndarray | None:
         w = exchange(part, difference(part, k), k, capacity)
-        if np.bincount(w, weights=part).max() <= capacity:
-            window[some] = w
-            break
-        k += max(1, k // 300)
+        return w if np.bincount(w, weights=part).max() <= capacity else None
+
+    low, step = _least(part, capacity) - 1, 1
+    best = None
+    while best is None:
+        k = min(low + step, len(part))
+        best = attempt(k)
+        if best is None:
+            low, step = k, 2 * step
+    high = k
+    while high - low > 1:
+        k = (low + high) // 2
+        w = attempt(k)
+        if w is None:
+            low = k
+        else:
+            high, best = k, w
+    window[some] = best
     return window
 
 

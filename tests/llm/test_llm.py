@@ -154,6 +154,16 @@ def test_fill_keeps_to_the_capacity():
     assert fill(np.zeros(3, int), 10).tolist() == [0, 0, 0] and len(fill(np.zeros(0, int), 10)) == 0
 
 
+def test_fill_of_awkward_sizes_is_quick():
+    import time
+
+    for sizes, windows in ((np.full(600, 1025), 600), (np.full(600, 2048), 600), (np.full(600, 700), 300), (np.r_[np.full(300, 1100), np.full(300, 948)], 300), (np.ones(600, int), 1)):
+        began = time.thread_time()
+        w = fill(sizes, 2048)
+        sums = np.bincount(w, weights=sizes)
+        assert sums.max() <= 2048 and len(np.unique(w)) <= windows * 1.02 + 1 and time.thread_time() - began < 1.5
+
+
 def test_pack_every_item_once(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice([0, None, 5, 64, 65, 200, 640]) if i % 4 == 0 else rng.randrange(1, 64), "clash") for i in range(900)] + [(None, 5, "x")]
@@ -218,6 +228,29 @@ def test_mix_of_a_given_total_and_weights(spark):
     assert mix(df.limit(0), targets, "id", F.col("src"), F.col("n"))[0].count() == 0
 
 
+def test_mix_chances_are_those_intended(spark):
+    """Four weights, sizes apart from them, a limit that binds the heaviest: the share taken of each class is its chance."""
+    n = 24_000
+    df = spark.range(n).select(F.col("id"), F.lit("a").alias("src"), (F.col("id") % 37 + 1).alias("n"), F.element_at(F.array(*map(F.lit, (0.5, 1.0, 2.0, 20.0))), (F.col("id") % 4 + 1).cast("int")).alias("w"))
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    rows = df.toPandas()
+    for total, seed in ((0.3, 1), (0.5, 2)):
+        quota = total * rows["n"].sum()
+        selection, report = mix(df, targets, "id", F.col("src"), F.col("n"), F.col("w"), total=float(quota), seed=seed)
+        took = rows["id"].isin({r.id for r in selection.collect()})
+        scale = 1.0
+        for _ in range(60):  # copies are w * scale, at most one
+            scale *= quota / (np.minimum(rows["w"] * scale, 1) * rows["n"]).sum()
+        for w, mine in rows.groupby("w"):
+            p = min(w * scale, 1)
+            got, size = took[mine.index].mean(), len(mine)
+            assert abs(got - p) <= 3.5 * math.sqrt(p * (1 - p) / size) + 1e-3
+            # Long texts are as likely as short ones.
+            long = took[mine.index[mine["n"] > 19]].mean()
+            assert abs(long - got) <= 3.5 * math.sqrt(p * (1 - p) / size * 2) + 1e-3
+        assert abs(report.first().selected - quota) <= 19
+
+
 def test_mix_tells_the_source_that_binds(spark):
     df = spark.createDataFrame([(i, "rich", 10) for i in range(1000)] + [(5000, "poor", 7)], "id int, src string, n int")
     targets = spark.createDataFrame([("rich", 0.7, 1), ("poor", 0.2, 3), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
