@@ -39,10 +39,18 @@ PROFILES = {
     "words": (0.06, 0.82, 0.06, 0.02, 0.02, 0.00, 0.02, 0.00, 0.00),
     "encoded": (0.00, 0.05, 0.10, 0.10, 0.40, 0.10, 0.05, 0.20, 0.00),
 }
-#: Function words in the prose of each language, as a share of its words.
+#: Function words in the prose of some languages, as a share of its words; and of any other.
 FUNCTION_SHARE = {"en": 0.46, "de": 0.36, "fr": 0.38, "es": 0.38}
+OTHER_SHARE = 0.40
+#: Common words beyond this number are no list of function words; a parameter of ``text_quality``.
+MOST_WORDS = 1_000_000
 
-STRUCTURES = [*[f"prose_{lang}" for lang in FUNCTION_SHARE], *[p for p in PROFILES if p != "prose"]]
+_OTHERS = [p for p in PROFILES if p != "prose"]
+
+
+def structures(langs: list[str]) -> list[str]:
+    """The profiles there are for some languages: prose in each, then the others."""
+    return [*[f"prose_{lang}" for lang in langs], *_OTHERS]
 
 
 def _byte_classes() -> np.ndarray:
@@ -62,33 +70,69 @@ def _byte_classes() -> np.ndarray:
 _CLASS = _byte_classes()
 
 
-def _keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each short word; exact up to 8 bytes, hashed up to 16, 0 beyond."""
+_HEAD = 16
+
+
+def _heads(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first 16 bytes of each word as two numbers, and a key made from them and the length."""
     first, second = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
     last = len(data) - 1
-    for j in range(16):
+    for j in range(min(_HEAD, int(length.max()) if len(length) else 0)):
         byte = np.where(j < length, data[np.minimum(start + j, last)], 0).astype(np.uint64)
         if j < 8:
             first |= byte << np.uint64(8 * j)
         else:
             second |= byte << np.uint64(8 * (j - 8))
     with np.errstate(over="ignore"):
-        key = first * np.uint64(0x9E3779B97F4A7C15) + second
-    key[length > 16] = 0
-    return key
+        key = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F) + length.astype(np.uint64)
+    return first, second, key
 
 
-def _word_table(common: dict[str, list[str]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the common words, and for each word the languages it belongs to."""
-    bits: dict[int, int] = {}
-    for i, lang in enumerate(langs):
-        for w in common.get(lang, []):
-            raw = np.frombuffer(w.lower().encode(), np.uint8)
-            if 0 < len(raw) <= 16:
-                k = int(_keys(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
-                bits[k] = bits.get(k, 0) | 1 << i
-    keys = np.array(sorted(bits), np.uint64)
-    return keys, np.array([bits[int(k)] for k in keys], np.uint8)
+class Words:
+    """The common words of any number of languages, looked up by their bytes.
+
+    A key finds the candidate; the bytes decide.  Words may be of any length.
+    """
+
+    def __init__(self, common: dict[str, list[str]]):
+        self.langs = sorted(lang for lang, words in common.items() if words)
+        of: dict[bytes, set[int]] = {}
+        for i, lang in enumerate(self.langs):
+            for w in common[lang]:
+                if raw := w.lower().encode("utf-8", "replace"):
+                    of.setdefault(raw, set()).add(i)
+        raw = list(of)
+        data = np.frombuffer(b"".join(raw) or b" ", np.uint8)
+        length = np.array([len(w) for w in raw], np.int64)
+        first, second, key = _heads(data, np.cumsum(length) - length, length)
+        order = np.argsort(key, kind="stable")
+        self.words, self.length = [raw[i] for i in order], length[order]
+        self.first, self.second, self.key = first[order], second[order], key[order]
+        # A last row for what is no common word.
+        self.member = np.zeros((len(raw) + 1, len(self.langs)), bool)
+        for row, i in enumerate(order):
+            self.member[row, list(of[raw[i]])] = True
+
+    def find(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The row of each word of ``data``, or the last one."""
+        none = len(self.words)
+        out = np.full(len(start), none, np.int64)
+        if not none or not len(start):
+            return out
+        first, second, key = _heads(data, start, length)
+        at = np.searchsorted(self.key, key)
+        todo = np.flatnonzero((at < none) & (self.key[np.minimum(at, none - 1)] == key))
+        while len(todo):  # once, but for words that share a key
+            i = at[todo]
+            same = (self.first[i] == first[todo]) & (self.second[i] == second[todo]) & (self.length[i] == length[todo])
+            for k in np.flatnonzero(same & (length[todo] > _HEAD)):
+                w = todo[k]
+                same[k] = data[start[w] : start[w] + length[w]].tobytes() == self.words[i[k]]
+            out[todo[same]] = i[same]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[(at[todo] < none) & (self.key[np.minimum(at[todo], none - 1)] == key[todo])]
+        return out
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -105,7 +149,7 @@ def _nearest(function: np.ndarray, rest: np.ndarray, langs: list[str]) -> tuple[
     total = np.maximum(rest.sum(axis=1), 1)
     far = []
     for i, lang in enumerate(langs):
-        share, q = FUNCTION_SHARE[lang], np.array(PROFILES["prose"])
+        share, q = FUNCTION_SHARE.get(lang, OTHER_SHARE), np.array(PROFILES["prose"])
         words = q[_FUNCTION] + q[_PLAIN] + q[_CAPITAL]
         q = q.copy()
         q[_FUNCTION], q[_PLAIN] = words * share, words * (1 - share) - q[_CAPITAL]
@@ -113,7 +157,7 @@ def _nearest(function: np.ndarray, rest: np.ndarray, langs: list[str]) -> tuple[
         p[:, _FUNCTION] = function[:, i]
         p[:, _PLAIN] = np.maximum(p[:, _PLAIN] - function[:, i], 0)
         far.append(divergence(p / total[:, None], q))
-    best = function.max(axis=1)
+    best = function.max(axis=1, initial=0)
     p = rest.astype(float)
     p[:, _FUNCTION] = best
     p[:, _PLAIN] = np.maximum(p[:, _PLAIN] - best, 0)
@@ -124,9 +168,10 @@ def _nearest(function: np.ndarray, rest: np.ndarray, langs: list[str]) -> tuple[
     return at, table[np.arange(len(at)), at]
 
 
-def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: list[str]) -> dict[str, np.ndarray]:
+def measure(texts: list[bytes], common: Words) -> dict[str, np.ndarray]:
     """The statistics of each text, in arrays."""
-    n_docs = len(texts)
+    n_docs, langs = len(texts), common.langs
+    names = structures(langs)
     place = np.int32 if sum(map(len, texts)) + n_docs < 2**31 else np.int64  # half the memory for one long text
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) for t in texts], np.int64) + 1
@@ -170,12 +215,9 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     word = (digit == 0) & (joint == 0)
     camel = word & (upper > first_upper) & ~all_upper
     word &= ~camel
-    key = np.zeros(len(start), np.uint64)
-    short = word & (length <= 16)
-    key[short] = _keys(folded, start[short], length[short])
-    at = np.minimum(np.searchsorted(table[0], key), max(len(table[0]) - 1, 0))
-    bits = np.where(table[0][at] == key, table[1][at], 0).astype(np.uint8) if len(table[0]) else np.zeros(len(key), np.uint8)
-    bits[~word] = 0
+    row = np.full(len(start), len(common.words), np.int64)
+    row[word] = common.find(folded, start[word], length[word])
+    is_common = row < len(common.words)
 
     # A line in capitals is read as if it were not.
     per = lambda mask, w=None: np.bincount(tok_line[mask], weights=w, minlength=n_lines).astype(np.int64)
@@ -183,12 +225,13 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     shout_line = per(word & all_upper) * 10 >= np.maximum(words, 1) * 9
     shouting = shout_line[tok_line]
     cap = word & first_upper & ~all_upper
-    shout = word & all_upper & ~shouting & (bits == 0)
+    shout = word & all_upper & ~shouting & ~is_common
     # The first word of a line or sentence is as good as in lower case.
-    function = np.stack([per((bits >> i & 1).astype(bool)) for i in range(len(langs))], axis=1)
+    stack = lambda columns, n: np.stack(columns, axis=1) if columns else np.zeros((n, 0), np.int64)
+    function = stack([per(common.member[row, i]) for i in range(len(langs))], n_lines)
     rest = np.zeros((n_lines, 9), np.int64)
-    rest[:, _PLAIN] = words - per(cap & (bits == 0)) - per(shout)
-    rest[:, _CAPITAL] = per(cap & (bits == 0))
+    rest[:, _PLAIN] = words - per(cap & ~is_common) - per(shout)
+    rest[:, _CAPITAL] = per(cap & ~is_common)
     rest[:, _SHOUT] = per(shout)
     rest[:, _NAME] = per(~word & ~number)
     rest[:, _NUMBER] = per(number)
@@ -241,7 +284,7 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     stops = count((kind == _STOP) & ends_word)
     filled = line_chars > 0
     punct_end = filled & ((kind[tail] == _STOP) | np.isin(data[tail], np.frombuffer(b";:,", np.uint8)))
-    odd = [STRUCTURES.index("header"), STRUCTURES.index("table")]
+    odd = [names.index("header"), names.index("table")]
 
     # Passages: lines of words that follow each other.  A line alone says little; a passage has a distribution.
     tokens = np.maximum(rest.sum(axis=1), 1)
@@ -253,12 +296,12 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     passage = (np.cumsum(begins) - 1)[in_lines]
     k = int(begins.sum())
     add = lambda v: np.bincount(passage, weights=v[in_lines], minlength=k)
-    p_function = np.stack([add(function[:, i]) for i in range(len(langs))], axis=1)
+    p_function = stack([add(function[:, i]) for i in range(len(langs))], k)
     p_rest = np.stack([add(rest[:, i]) for i in range(9)], axis=1)
     p_words, p_stops, p_lines = add(words), add(stops), add(np.ones(n_lines))
     near = _nearest(p_function, p_rest, langs)[0] if k else np.zeros(0, np.int64)
     # Sentences have a stop now and then and go on over the line; lines of a list stop and start anew.
-    running = (near < len(langs)) & (p_stops >= 1) & (p_words >= 4 * p_stops) & (p_words <= 80 * p_stops) & (p_words >= 4 * p_lines) & (p_function.max(axis=1) >= 0.2 * p_words)
+    running = (near < len(langs)) & (p_stops >= 1) & (p_words >= 4 * p_stops) & (p_words <= 80 * p_stops) & (p_words >= 4 * p_lines) & (p_function.max(axis=1, initial=0) >= 0.2 * p_words)
     prose = np.zeros(n_lines, bool)
     prose[in_lines] = running[passage]
 
@@ -268,7 +311,7 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     if word.any():
         character = np.r_[place(0), np.cumsum(lead, dtype=place)]
         word_chars = np.bincount(tok_line[word], weights=(character[stop] - character[start])[word], minlength=n_lines)
-    f_doc = np.stack([by_doc(function[:, i]) for i in range(len(langs))], axis=1)
+    f_doc = stack([by_doc(function[:, i]) for i in range(len(langs))], n_docs)
     rest_doc = np.stack([by_doc(rest[:, i]) for i in range(9)], axis=1)
     near, far = _nearest(f_doc, rest_doc, langs)
     ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
@@ -277,7 +320,7 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
         "mean_word_length": ratio(by_doc(word_chars), n_words),
         "symbol_ratio": ratio(by_doc(rest[:, _SIGN]), chars),
         "punctuated_lines": ratio(by_doc(punct_end), by_doc(filled)),
-        "common_words": ratio(f_doc.max(axis=1), n_words),
+        "common_words": ratio(f_doc.max(axis=1, initial=0), n_words),
         "prose_share": ratio(by_doc(np.where(prose, line_chars, 0)), chars),
         "structure": np.where(chars > 0, near, -1),
         "divergence": np.where(chars > 0, far, 0.0),
@@ -285,22 +328,21 @@ def measure(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], langs: lis
     }
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """``(key, n_words, mean_word_length, symbol_ratio, punctuated_lines, common_words, prose_share, structure, divergence)`` for each row.
 
-    ``common_words`` has ``lang`` and ``word``: a few hundred function words,
-    checked to be under 10,000.  A null, empty or blank text has no words,
-    shares of 0 and a null ``structure``.  Invalid bytes count as letters.
+    ``common_words`` has ``lang`` and ``word``: the function words of any
+    number of languages, each of any length; they are sent to all tasks, so
+    there may be ``most_words`` of them at most, which is checked.  A null,
+    empty or blank text has no words, shares of 0 and a null ``structure``.
+    Invalid bytes count as letters.
     Repeated rows give repeated results; an empty table gives an empty one.
     """
-    langs = list(FUNCTION_SHARE)
-    words = common_words.where("word is not null").select("lang", "word").distinct().limit(10_001).collect()
-    if len(words) > 10_000:
-        raise ValueError("common_words must hold at most 10,000 words")
-    common: dict[str, list[str]] = {}
-    for r in words:
-        common.setdefault(r.lang, []).append(r.word)
-    table = _word_table(common, langs)
+    words = common_words.where("word is not null and lang is not null").select("lang", "word").distinct().limit(most_words + 1).toPandas()
+    if len(words) > most_words:
+        raise ValueError(f"common_words must hold at most {most_words} words")
+    common = Words({lang: mine.tolist() for lang, mine in words.groupby("lang")["word"]})
+    sent, labels = docs.sparkSession.sparkContext.broadcast(common), structures(common.langs)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     names = ["n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose_share", "structure", "divergence"]
 
@@ -313,8 +355,8 @@ def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id",
                 while z < len(texts) and (z == a or held + len(texts[z]) <= _CHUNK):
                     held += len(texts[z])
                     z += 1
-                m = measure(texts[a:z], table, langs)
-                structure = pa.array([STRUCTURES[i] if i >= 0 else None for i in m["structure"]], pa.string())
+                m = measure(texts[a:z], sent.value)
+                structure = pa.array([labels[i] if i >= 0 else None for i in m["structure"]], pa.string())
                 columns = [structure if c == "structure" else pa.array(m[c]) for c in names]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), *columns], ["_key", *names])
                 a = z

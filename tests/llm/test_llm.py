@@ -293,6 +293,28 @@ def test_quality(spark):
     assert text_quality(df.unionByName(df), common).count() == 2 * len(texts)
 
 
+def test_words_of_any_language_and_length(spark):
+    long = [("de", w) for w in ("selbstverständlich", "und", "außerordentlichkeit", "außerordentlichkeix")]
+    many = [(f"l{i}", w) for i in range(70) for w in (f"w{'x' * (i % 30)}q", "und")]
+    common = spark.createDataFrame([*long, ("it", "che"), ("it", "CHE"), *many, (None, "x"), ("it", None)], "lang string, word string")
+    df = spark.createDataFrame([("a", "Selbstverständlich und AUSSERORDENTLICHKEIT"), ("b", "che che no"), ("c", "außerordentlichkeit außerordentlichkeiy selbstverständlicx"), ("d", f"w{'x' * 29}q und nein")], "doc_id string, text string")
+    got = {r.doc_id: r for r in text_quality(df, common).collect()}
+    assert [round(got[k].common_words, 4) for k in "abcd"] == [0.6667, 0.6667, 0.3333, 0.6667]
+    with pytest.raises(ValueError):
+        text_quality(df, common, most_words=10)
+
+
+def test_words_that_share_a_key():
+    from leadline.llm.quality import Words
+
+    w = Words({"en": [f"abcdefghijklmnop{i:02d}" for i in range(20)] + ["ab", "abc"]})
+    raw = [f"abcdefghijklmnop{i:02d}".encode() for i in range(25)] + [b"ab", b"abd", b"abc"]
+    length = np.array([len(x) for x in raw])
+    row = w.find(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length)
+    assert [i < len(w.words) for i in row] == [True] * 20 + [False] * 5 + [True, False, True]
+    assert all(w.words[r] == x for r, x in zip(row, raw, strict=True) if r < len(w.words))
+
+
 @needs_tokenizer
 @pytest.mark.parametrize("name", ["p4_percentiles", "p4_daily", "p7_packed", "p7_windows", "p8_selection", "p8_shares", "p9_found", "p9_stats"])
 def test_queries_run(name, spark, data):
