@@ -180,13 +180,19 @@ class Grid:
     def _point_schema(self) -> T.StructType:
         return schema_of(self._columns)
 
-    def _stored(self, blocks: set[str] | None = None, containers: list[str] | None = None) -> DataFrame:
-        """Stored points with their leaf tile, of some blocks or containers only; what is not asked for is not read."""
+    def _stored(self, blocks: set[str] | None = None, containers: list[str] | None = None, box: list[float] | None = None) -> DataFrame:
+        """Stored points with their leaf tile, of some blocks or containers only, and of tiles with corners in a box.
+
+        Folders of other blocks and batches are not opened, and row groups of
+        tiles outside the box are skipped by their statistics.
+        """
         every = self._kept("points", lambda: self._store.points([c["batch"] for c in self._m["containers"].values()], self._point_schema()))
         if containers is not None:
             every = every.where(F.col("batch").isin([self._m["containers"][c]["batch"] for c in containers]))
         if blocks is not None:
             every = every.where(F.col("block").isin(sorted(blocks)))
+        if box is not None:
+            every = every.where(F.col("tile_x").between(box[0], box[2]) & F.col("tile_y").between(box[1], box[3]))
         return every.drop("batch", "block")
 
     def points(self, containers: list[str] | None = None) -> DataFrame | None:
@@ -200,8 +206,8 @@ class Grid:
     def _cell_schema(self) -> T.StructType:
         return T.StructType.fromJson(self._m["cell_schema"])
 
-    def _tiled(self, blocks: set[str] | None = None) -> DataFrame:
-        return self._stored(blocks).where("tile_x is not null")
+    def _tiled(self, blocks: set[str] | None = None, box: list[float] | None = None) -> DataFrame:
+        return self._stored(blocks, box=box).where("tile_x is not null")
 
     def _tiles(self, size: float, batches: list[str] | None = None) -> DataFrame:
         """Distinct tiles of a size, from what is kept of each batch; no point is read."""
@@ -336,7 +342,7 @@ class Grid:
             return []
         tiles = self._tiles(self.leaf_size, [batch])
         empty = tiles.join(self._tiles(self.leaf_size), ["tile_x", "tile_y"], "left_anti")
-        blocks = named_blocks(empty, self._block_side)
+        blocks, _ = named_blocks(empty, self._block_side)
         if blocks is not None and not blocks:
             return []
         version = uuid.uuid4().hex
@@ -388,16 +394,16 @@ class Grid:
         if algorithm == CUBE and not {"tvu", "thu"} <= set(self._columns):
             raise ValueError("this method needs tvu and thu")
         m, leaf, keys, side = self._m, self.leaf_size, ["tile_x", "tile_y"], self._block_side
-        todo, blocks = None, None
+        todo, blocks, box = None, None, None
         if regrid_option == "update" and not self.no_grid:
             # The tiles of the batches that came or went; only their blocks are read and written.
             todo = self._tiles(leaf, m["touched"])
-            blocks = named_blocks(todo, side)
+            blocks, box = named_blocks(todo, side)
             if blocks is not None and not blocks:
                 m["touched"] = []
                 self._save()
                 return self.resolutions
-        some = self._tiled(blocks)
+        some = self._tiled(blocks, box)
         if todo is not None:
             some = some.join(todo, keys, "left_semi")
         if resolution is not None:
@@ -412,7 +418,7 @@ class Grid:
             # The points about a tile's border count as well, whether or not their own tile is gridded now.
             steps = F.array(*[F.struct((F.col("tile_x") + dx * leaf).alias("tile_x"), (F.col("tile_y") + dy * leaf).alias("tile_y")) for dx, dy in ((0, 0), *[(x, y) for _, x, y in neighbors.SIDES])])
             around = named_blocks(todo.select(F.explode(steps).alias("t")).select("t.*"), side)
-            parameters["halo"] = neighbors.halo_points(self._tiled(around), leaf, leaf / 10).join(todo.toDF("for_x", "for_y"), ["for_x", "for_y"], "left_semi")
+            parameters["halo"] = neighbors.halo_points(self._tiled(*around), leaf, leaf / 10).join(todo.toDF("for_x", "for_y"), ["for_x", "for_y"], "left_semi")
         new = C.aggregate_cells(rez, algorithm, leaf, single=True, parameters=parameters)
         if self.is_backscatter:
             new = new.withColumnRenamed("depth", "intensity")

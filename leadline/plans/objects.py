@@ -6,6 +6,8 @@ floats, as its cells are stored; the SQL does the same.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..grid import Grid, create_grid, load_grid
 from ..operators import layers
 from ..sources.shared import new_path
 from ..sources.tables import table
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, running_cells, windowed_cells
 from .survey import _CELL, _ONE, _P, FIXED, LEAF, NODATA, TILE, Query, _lookup_sql, _tiled, points
 
 QUERIES: dict[str, Query] = {}
@@ -290,3 +292,41 @@ def grid_halo(spark, folder):
     """What the leaf tiles of a grid see of their neighbors."""
     halo = _filled(spark, folder).get_tile_neighbor_points(8.0)
     return halo.groupBy("for_x", "for_y").agg(F.count("*").alias("n"), F.sum(F.col("z").cast("double")).alias("sum_z"))
+
+
+_COARSE = 64.0
+
+
+def _streamed(spark: SparkSession, folder: str, more: dict | None = None) -> DataFrame:
+    """The points as a stream of three files."""
+    source = new_path(spark, "arrivals")
+    every = points(spark, folder).withColumns(more or {})
+    every.repartition(3).write.parquet(source)
+    return spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _complete(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    """The state of a stream after all its files: a row a cell, here a few hundred."""
+    name = f"state_{uuid.uuid4().hex}"
+    query = cells.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "stream")).start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
+
+
+_STATE = "avg(z) as depth, min(z) as shoalest, count(*) as density"
+
+
+@_add("stream_running_cells", f"with {_P}, {_tiled(TILE)}, r as (select *, cast({_COARSE} as double) as resolution from t) select {_CELL}, {_STATE} from r group by all")
+def stream_running_cells(spark, folder):
+    """Cells kept up to date by a stream."""
+    return _complete(spark, running_cells(_streamed(spark, folder), _COARSE))
+
+
+@_add("stream_windowed_cells", f"""with {_P}, {_tiled(TILE)}, r as (select *, cast({_COARSE} as double) as resolution from t)
+  select cast(floor(x * 60 / 7200) * 7200 as bigint) as window_start, {_CELL}, {_STATE} from r group by all""")
+def stream_windowed_cells(spark, folder):
+    """The same by windows of two hours; here a meter in x takes a minute."""
+    timed = _streamed(spark, folder, {"at": F.timestamp_micros((F.col("x") * F.lit(60_000_000)).cast("bigint"))})
+    cells = _complete(spark, windowed_cells(timed, "at", _COARSE, "2 hours", "1 hour"))
+    return cells.select(F.unix_seconds("window.start").alias("window_start"), *layers.KEYS, "depth", "shoalest", "density")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.heavy import heavy_keys, per_key, skew_join
 from ..operators.near import near_counts, near_pairs, near_pairs_in_regions, points_in_regions
 from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
-from ..operators.spikes import flag_implausible
+from ..operators.spikes import DEPTH, UNCERTAINTY, flag_implausible
 from ..sources.archive import decode_ids
 from ..sources.tables import table
 
@@ -30,6 +30,17 @@ def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
     return flag_implausible(table(spark, folder, "points"))
 
 
+def p1_impossible(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the flags, those of values that no instrument means, whatever the container: not a number, infinite, beyond the hard bounds."""
+    points = table(spark, folder, "points")
+    beyond = lambda c, low, high: F.isnan(c) | (F.abs(c) == F.lit(float("inf"))) | low | (F.col(c) > high)
+    values = points.select("point_id", F.explode(F.array(
+        F.struct(F.lit("z").alias("channel"), beyond("z", F.col("z") < DEPTH.low, DEPTH.high).alias("beyond")),
+        F.struct(F.lit("tvu").alias("channel"), beyond("tvu", F.col("tvu") <= UNCERTAINTY.low, UNCERTAINTY.high).alias("beyond")),
+    )).alias("v")).where("v.beyond").select("point_id", "v.channel").distinct()
+    return flag_implausible(points).where("state = 'out_of_range'").join(values, ["point_id", "channel"], "left_semi").select("point_id", "channel")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose every distinct record one other file of the same grid, tile and layer holds too."""
     return files_adding_nothing(archive_files(table(spark, folder, "tile_files"))).select(F.col("key").alias("file_id"))
@@ -111,6 +122,7 @@ def p6_key_shoals(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_flags": p1_flags,
+    "p1_impossible": p1_impossible,
     "p2_found": p2_found,
     "p2_consolidated": p2_consolidated,
     "p2_blocks": p2_blocks,
@@ -138,6 +150,9 @@ _INSIDE = """edges as (select area_id, unnest([{'a': ring[i], 'b': ring[i % len(
     group by n.point_id, n.area_id having count(*) % 2 = 1)"""
 
 SQL: dict[str, str] = {
+    "p1_impossible": f"""with s as (select * from points where container is not null and ping_time is not null)
+  select distinct point_id, 'z' as channel from s where isnan(z) or isinf(z) or z < {DEPTH.low} or z > {DEPTH.high}
+  union select distinct point_id, 'tvu' from s where isnan(tvu) or isinf(tvu) or tvu <= {UNCERTAINTY.low} or tvu > {UNCERTAINTY.high}""",
     "p2_found": """with f as (select file_id, grid_name, tile_name, layer, list_distinct(record_ids) as ids from tile_files),
   e as (select file_id, grid_name, tile_name, layer, len(ids) as n, unnest(ids) as id from f)
   select distinct file_id from (select a.file_id, b.file_id as other from e a join e b using (grid_name, tile_name, layer, id)

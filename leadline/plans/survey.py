@@ -577,6 +577,12 @@ def cube_density(spark, folder):
     return _vr(spark, folder, CUBE).where("density > 0").select(*layers.KEYS, "density")
 
 
+@_add("total_uncertainty_histogram")
+def total_uncertainty_histogram(spark, folder):
+    """Histogram of the total uncertainty of the CUBE nodes."""
+    return stats.histogram(_vr(spark, folder, CUBE).select(F.col("total_uncertainty").alias("value")))
+
+
 @_add("cube_grid")
 def cube_grid(spark, folder):
     """Depth, uncertainty and hypotheses of each node, at the resolution that goes with the depth of each leaf tile."""

@@ -194,7 +194,11 @@ class Store:
             remove(self.spark, f"{self.root}/{name}")
 
 
-def named_blocks(tiles: DataFrame, side: float) -> set[str] | None:
-    """The blocks of some tiles by name, or ``None`` if they are too many to name."""
-    found = tiles.select(block_of(F.col("tile_x"), F.col("tile_y"), side).alias("block")).distinct().limit(_MOST_NAMED + 1).collect()
-    return {r.block for r in found} if len(found) <= _MOST_NAMED else None
+def named_blocks(tiles: DataFrame, side: float) -> tuple[set[str] | None, list[float] | None]:
+    """The blocks of some tiles by name, or ``None`` if they are too many to name, and the box of the tiles' corners."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("tile_x", "tile_y")]
+    found = tiles.groupBy(block_of(F.col("tile_x"), F.col("tile_y"), side).alias("block")).agg(*ends).limit(_MOST_NAMED + 1).collect()
+    if len(found) > _MOST_NAMED:
+        return None, None
+    box = [min(r.min_tile_x for r in found), min(r.min_tile_y for r in found), max(r.max_tile_x for r in found), max(r.max_tile_y for r in found)] if found else None
+    return {r.block for r in found}, box

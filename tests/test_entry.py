@@ -16,6 +16,6 @@ def test_flagship(spark, data):
     assert df.columns == ["tile_x", "tile_y", "resolution", "row", "col", "depth", "density", "vertical_uncertainty", "horizontal_uncertainty"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_flags", "cube_grid"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_flags", "cube_grid", "total_uncertainty_histogram"])
 def test_queries_without_sql(name, spark, data):
     assert entry.queries()[name](spark, data).count() > 0
