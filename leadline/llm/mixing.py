@@ -94,7 +94,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     weights = rows.withColumn("_wbin", F.floor(F.log2("_w") * _STEPS)).groupBy("source", "_wbin").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"), F.sum(F.col("_w") * F.col("size")).alias("_mass"), F.max("_w").alias("_wmax"))
     quotas = plan(weights.groupBy("source").agg(F.sum("_sum").alias("available"), F.sum("_n").alias("n_docs")), known, total)  # a row a target source
     quotas = cut(quotas.join(_scales(weights, quotas), "source", "left"))
-    small = F.broadcast if known.count() <= _BROADCAST_SOURCES else lambda x: x
+    small = F.broadcast if quotas.count() <= _BROADCAST_SOURCES else lambda x: x
     asked = rows.join(small(quotas.where("quota > 0").select("source", "quota", "max_repeats", "_scale")), "source")
     wish = F.coalesce(F.least(F.col("_w") * F.col("_scale"), F.col("max_repeats").cast("double")), F.col("max_repeats").cast("double"))
     # A whole copy short of the limit by rounding only is a whole copy.
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: Column, size: Col
     bins = bins.withColumns({"_free": F.col("quota") - F.sum("_certain").over(every), "_upto": F.sum("_sum").over(so_far)})
     # The first bin that goes beyond what is free, and what is free when it begins; none if all fit.
     edge = bins.where("_bin >= 0 and _upto > _free").groupBy("source").agg(F.min(F.struct("_bin", (F.col("_free") - F.col("_upto") + F.col("_sum")).alias("_room"))).alias("_e"))
-    edge = edge.select("source", F.col("_e._bin").alias("_edge"), F.col("_e._room").alias("_room"))
+    edge = cut(edge.select("source", F.col("_e._bin").alias("_edge"), F.col("_e._room").alias("_room")))
     placed = asked.join(small(edge), "source", "left")
     more = (F.col("_bin") >= 0) & (F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))
     plain = placed.where("_edge is null or _bin <> _edge").withColumn("_more", more.cast("int"))
