@@ -74,7 +74,8 @@ def pack(files: DataFrame, path: str, content: str, group: list[str], carry: lis
     A row with a null path or null content is no file; an empty content is kept
     as a member of length 0.  Null group columns make a group of their own.
     ``carry`` names further columns for the index.  ``size`` names a column
-    with the length of the content, where that is known without it.
+    with the length of the content, where that is known without it; then no
+    content may be null.
     """
     carry = carry or []
     rows = files.where(F.col(path).isNotNull())
@@ -88,7 +89,9 @@ def pack(files: DataFrame, path: str, content: str, group: list[str], carry: lis
         rows = rows.join(F.broadcast(many) if n_many <= _BROADCAST_GROUPS else many, on=same, how="left").drop(*[f"_m{i}" for i in range(len(keys))]).fillna(1, ["_blocks"])
     else:
         rows = rows.withColumn("_blocks", F.lit(1))
-    rows = rows.where(F.col("_content").isNotNull()).withColumn("_bucket", F.pmod(F.xxhash64("_path"), F.col("_blocks")).cast("int")).withColumn("_sum", F.sha2("_content", 256)).drop("_size")
+    if not size:  # a filter on the content would make it twice
+        rows = rows.where(F.col("_content").isNotNull())
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_path"), F.col("_blocks")).cast("int")).withColumn("_sum", F.sha2("_content", 256)).drop("_size")
     kinds = dict(rows.dtypes)
     carried = "".join(f", {c}: {kinds[f'_c{i}']}" for i, c in enumerate(carry))
     member = f"struct<path: string, offset: bigint, length: bigint, checksum: string{carried}>"
