@@ -14,7 +14,7 @@ from .packing import pack
 from .quality import prose, text_quality
 from .quantiles import SECTION, merge, quantiles, sketch
 from .tokens import n_tokens
-from .topn import cluster, top_n
+from .topn import cluster, skipped, top_n
 
 SHOALEST = 3
 CAPACITY = 2048
@@ -58,6 +58,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(cluster(points, ["tile_name", "cell_index"], "z", "point_id"), SHOALEST).select("tile_name", "cell_index", "point_id")
 
 
+def p5_row_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """What the statistics of the clustered table rule out before anything is read."""
+    points = table(spark, folder, "points").where("cell_index <> -1")
+    return skipped(cluster(points, ["tile_name", "cell_index"], "z", "point_id"), SHOALEST)
+
+
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in a window of ``CAPACITY`` tokens."""
     docs = table(spark, folder, "documents").select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_daily": p4_daily,
     "p4_exact": p4_exact,
     "p5_found": p5_found,
+    "p5_row_groups": p5_row_groups,
     "p7_packed": p7_packed,
     "p7_windows": p7_windows,
     "p7_check": p7_check,

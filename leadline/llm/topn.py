@@ -119,6 +119,14 @@ def to_read(table: Clustered, n: int) -> DataFrame:
     return stats.join(bound, on, "left").where("_bound is null or best <= _bound").select("file", "row_group", "best", "single")
 
 
+def skipped(table: Clustered, n: int) -> DataFrame:
+    """One row: how many row groups and rows there are, how many row groups hold one group only, and what the statistics alone rule out for the best ``n``."""
+    every = row_groups(table).agg(F.count("*").alias("n_row_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.when(F.col("single"), 1)).alias("n_single"))
+    read = row_groups(table).select("file", "row_group", "n").join(to_read(table, n).select("file", "row_group"), ["file", "row_group"], "left_semi")
+    left = read.agg(F.count("*").alias("_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"))
+    return every.crossJoin(left).select("n_row_groups", "n_rows", "n_single", (F.col("n_row_groups") - F.col("_groups")).alias("n_ruled_out"), (F.col("n_rows") - F.col("_rows")).alias("n_rows_ruled_out"))  # one row each
+
+
 def top_n(table: Clustered, n: int) -> DataFrame:
     """The ``n`` items of each group with the lowest score, equal scores by the lower key: ``(group..., score, key, rank)``.
 

@@ -15,7 +15,7 @@ from leadline.llm.packing import difference, fill, pack
 from leadline.llm.quality import divergence, prose, text_quality
 from leadline.llm.quantiles import HIGH, LOW, Sketch, merge, quantiles, rank_error, sketch
 from leadline.llm.tokens import TOKENIZER, n_tokens
-from leadline.llm.topn import cluster, row_groups, to_read, top_n
+from leadline.llm.topn import cluster, row_groups, skipped, to_read, top_n
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
 
@@ -52,6 +52,8 @@ def test_top_n_skips_row_groups(spark):
     table = cluster(df, ["g"], "z", "k", 100_000)
     assert row_groups(table).count() >= 4 and to_read(table, 3).count() == 1
     assert [r.k for r in top_n(table, 3).orderBy("rank").collect()] == [0, 1, 2]
+    told = skipped(table, 3).first()
+    assert told.n_rows == 400_000 and told.n_single == told.n_row_groups == told.n_ruled_out + 1 and told.n_rows_ruled_out > 290_000
 
 
 def test_top_n_of_nothing(spark):
@@ -316,6 +318,6 @@ def test_words_that_share_a_key():
 
 
 @needs_tokenizer
-@pytest.mark.parametrize("name", ["p4_percentiles", "p4_daily", "p7_packed", "p7_windows", "p8_selection", "p8_shares", "p9_found", "p9_stats"])
+@pytest.mark.parametrize("name", ["p4_percentiles", "p4_daily", "p5_row_groups", "p7_packed", "p7_windows", "p8_selection", "p8_shares", "p9_found", "p9_stats"])
 def test_queries_run(name, spark, data):
     assert queries.QUERIES[name](spark, data).count() > 0
