@@ -76,13 +76,12 @@ _HEAD = 16
 def _heads(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first 16 bytes of each word as two numbers, and a key made from them and the length."""
     first, second = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-    last = len(data) - 1
-    for j in range(min(_HEAD, int(length.max()) if len(length) else 0)):
-        byte = np.where(j < length, data[np.minimum(start + j, last)], 0).astype(np.uint64)
-        if j < 8:
-            first |= byte << np.uint64(8 * j)
-        else:
-            second |= byte << np.uint64(8 * (j - 8))
+    some = np.arange(len(start))
+    for j in range(_HEAD):
+        some = some[length[some] > j]  # fewer at every step
+        if not len(some):
+            break
+        (first if j < 8 else second)[some] |= data[start[some] + j].astype(np.uint64) << np.uint64(8 * (j % 8))
     with np.errstate(over="ignore"):
         key = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F) + length.astype(np.uint64)
     return first, second, key
@@ -106,7 +105,7 @@ class Words:
         length = np.array([len(w) for w in raw], np.int64)
         first, second, key = _heads(data, np.cumsum(length) - length, length)
         order = np.argsort(key, kind="stable")
-        self.words, self.length = [raw[i] for i in order], length[order]
+        self.words, self.length, self.longest = [raw[i] for i in order], length[order], int(length.max(initial=0))
         self.first, self.second, self.key = first[order], second[order], key[order]
         # A last row for what is no common word.
         self.member = np.zeros((len(raw) + 1, len(self.langs)), bool)
@@ -119,6 +118,13 @@ class Words:
         out = np.full(len(start), none, np.int64)
         if not none or not len(start):
             return out
+        near = np.flatnonzero(length <= self.longest)
+        out[near] = self._find(data, start[near], length[near])
+        return out
+
+    def _find(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        none = len(self.words)
+        out = np.full(len(start), none, np.int64)
         first, second, key = _heads(data, start, length)
         at = np.searchsorted(self.key, key)
         todo = np.flatnonzero((at < none) & (self.key[np.minimum(at, none - 1)] == key))
