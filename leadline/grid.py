@@ -294,7 +294,7 @@ class Grid:
         ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]
         per_tile = stored.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.count("z").alias("n_z"), F.sum(z).alias("sum_z"), F.max(z != 0).alias("nonzero"), *ends)
         tiles = self._store.write_tiles(per_tile, batch)
-        s = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), to_mm(F.sum("sum_z") / F.sum("n_z"), True).alias("mean"), F.max("nonzero").alias("nonzero"), *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]).first()
+        s = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), to_mm(F.try_divide(F.sum("sum_z"), F.sum("n_z")), True).alias("mean"), F.max("nonzero").alias("nonzero"), *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]).first()
         if s.min_x is not None and s.min_y is not None:
             m["extents"] = self._grown([s.min_x, s.min_y, s.max_x, s.max_y])
         m["mean_depth"] = float(np.float32(s["mean"])) if s.nonzero and s["mean"] is not None else 0.0

@@ -57,6 +57,11 @@ def heavy_keys(df: DataFrame, keys: dict[str, Column], share: float) -> DataFram
     return counted.join(F.broadcast(total), F.col("n_rows") >= F.col("total") * F.lit(share) - F.lit(1e-6)).select(kind_name.alias("key_kind"), F.col("k").alias("key_name"), "n_rows")
 
 
+def salted(df: DataFrame, salt: int) -> Column:
+    """A part, 0 to ``salt - 1``, of each row: by its values and the partition it is in, so that a task that runs again deals rows out as before."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")]) + F.spark_partition_id(), F.lit(salt))
+
+
 def _combines(df: DataFrame, aggregates: list[Column]) -> bool:
     """Whether Spark can combine the aggregates before the shuffle, to a few numbers a key."""
     plan = df.agg(*aggregates)._jdf.queryExecution().analyzed().toString().lower()
@@ -97,12 +102,11 @@ def per_key(df: DataFrame, keys: dict[str, Column], aggregates: list[Column], sh
     if merge is None:
         raise ValueError("these aggregates hold a whole group in one task: give merge, or aggregates that combine")
     light = marked.where("not _is_heavy").groupBy("_key", "_is_heavy").agg(*aggregates)
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(salt))
-    parts = marked.where("_is_heavy").withColumn("_part", part).groupBy("_key", "_is_heavy", "_part").agg(*aggregates)
+    parts = marked.where("_is_heavy").withColumn("_part", salted(marked, salt)).groupBy("_key", "_is_heavy", "_part").agg(*aggregates)
     return out(light, results).unionByName(out(parts.groupBy("_key", "_is_heavy").agg(*merge), results))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, share: float, how: str = "inner", salt: int = SALT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, share: float, how: str = "inner", salt: int = SALT, broadcast_rows: int = BROADCAST_ROWS, heavy: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on the column ``on``, where a few keys hold most rows of ``left``.
 
     Rows of heavy keys of ``left`` meet the few rows of ``right`` that have
@@ -111,7 +115,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, share: float, how: str
     instead, each of which gets a copy.  All other rows meet by an ordinary
     shuffle, and the two results are united.  ``how`` is ``inner`` or
     ``left``.  Null keys find nothing.  Apart from ``on``, the two must not
-    share names of columns.
+    share names of columns.  ``heavy`` gives the heavy keys where they are
+    known, in a column ``on``; else they are looked for.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -119,13 +124,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, share: float, how: str
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}")
     kind = dict(left.dtypes)[on]
-    heavy = cut(heavy_keys(left, {"key": F.col(on)}, share).select(F.col("key_name").cast(kind).alias(on)))  # at most 1 / share keys
+    if heavy is None:
+        heavy = heavy_keys(left, {"key": F.col(on)}, share).select(F.col("key_name").cast(kind).alias(on))
+    heavy = cut(heavy)  # at most 1 / share keys
     heavy_left, rest_left = left.join(F.broadcast(heavy), on, "left_semi"), left.join(F.broadcast(heavy), on, "left_anti")
     heavy_right, rest_right = right.join(F.broadcast(heavy), on, "left_semi"), right.join(F.broadcast(heavy), on, "left_anti")
     if heavy_right.limit(broadcast_rows + 1).count() <= broadcast_rows:
         met = heavy_left.join(F.broadcast(heavy_right), on, how)
     else:
-        dealt = heavy_left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)))
+        dealt = heavy_left.withColumn("_salt", salted(heavy_left, salt))
         copies = heavy_right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
         met = dealt.join(copies.hint("shuffle_hash"), [on, "_salt"], how).drop("_salt")
     return met.unionByName(rest_left.join(rest_right, on, how))

@@ -65,7 +65,7 @@ def by_density(tiled: DataFrame, tile_size: float, prefix: str = "tile", start:
     cell = [origin(F.col(c), s).alias(f"_c{c}") for c in ("x", "y")]
     cells = tiled.groupBy(*keys, *cell).agg(F.count("*").alias("_n"), F.sum(F.col("z").cast("double")).alias("_z"), F.count("z").alias("_nz"))
     estimate = F.sqrt(F.lit(2.0 * POINTS_PER_CELL * (1 + noise)) / (F.col("_n") / F.lit(s * s)))
-    tiles = cells.groupBy(*keys).agg(F.count("*").alias("_cells"), (F.sum(estimate * F.col("_n")) / F.sum("_n")).alias("estimate"), (F.sum("_z") / F.sum("_nz")).alias("_mean"))
+    tiles = cells.groupBy(*keys).agg(F.count("*").alias("_cells"), (F.sum(estimate * F.col("_n")) / F.sum("_n")).alias("estimate"), F.try_divide(F.sum("_z"), F.sum("_nz")).alias("_mean"))
     mean = F.col("_mean").cast("float").cast("double") if single else F.col("_mean")
     full = F.col("_cells") / F.lit(float(int((tile_size / s) ** 2)))
     res = F.when(full <= FULL_ENOUGH, _by_depth_at_least(mean)).otherwise(_at_least(F.col("estimate")))

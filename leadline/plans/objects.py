@@ -211,12 +211,12 @@ def grid_container_layer(spark, folder):
     return _told(_fixed(spark, folder).layer_cells(["density", _ONE, f"{_ONE}_density"], FIXED))
 
 
-_SUMS = "count(*) as n_cells, sum(density) as n_points, round(sum(depth), 2) as sum_depth"
+_SUMS = "count(*) as n_cells, sum(density) as n_points, round(sum(depth), 3) as sum_depth"
 
 
 def _raster_row(data: dict[str, np.ndarray]) -> tuple[int, int, float]:
     filled = ~np.isnan(data["depth"])
-    return int(filled.sum()), int(data["density"].sum()), round(float(data["depth"][filled].astype(np.float64).sum()), 2)
+    return int(filled.sum()), int(data["density"].sum()), round(float(data["depth"][filled].astype(np.float64).sum()), 3)
 
 
 @_add("grid_tile_rasters", f"with {_P}, {_vr_sql('p', 'c')} select tile_x as origin_x, tile_y + {LEAF} as origin_y, cast({LEAF} / 8 as int) as side, {_SUMS} from c where resolution = 8.0 group by 1, 2")

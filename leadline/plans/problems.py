@@ -12,6 +12,7 @@ from ..operators.near import near_counts, near_pairs, near_pairs_in_regions, poi
 from ..operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from ..operators.spikes import DEPTH, UNCERTAINTY, flag_implausible
 from ..sources.archive import decode_ids
+from ..sources.shared import cut
 from ..sources.tables import table
 
 HEAVY_SHARE = 0.02
@@ -112,8 +113,8 @@ def p6_key_shoals(spark: SparkSession, folder: str) -> DataFrame:
     found = None
     for kind, key in _point_keys().items():
         rows = points.select(key.cast("string").alias("key_name"), z.alias("z")).where("key_name is not null")
-        means = per_key(rows, {kind: F.col("key_name")}, [F.round(F.avg("z"), 3).alias("mean_z")], HEAVY_SHARE).select("key_name", "mean_z")
-        met = skew_join(rows, means, "key_name", HEAVY_SHARE)
+        means = cut(per_key(rows, {kind: F.col("key_name")}, [F.round(F.avg("z"), 3).alias("mean_z")], HEAVY_SHARE))
+        met = skew_join(rows, means.select("key_name", "mean_z"), "key_name", HEAVY_SHARE, heavy=means.where("is_heavy").select("key_name"))
         one = met.groupBy("key_name").agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("z") < F.col("mean_z"), 1)).alias("n_shoaler")).select(F.lit(kind).alias("key_kind"), "key_name", "n_rows", "n_shoaler")
         found = one if found is None else found.unionByName(one)
     return found

@@ -191,6 +191,21 @@ def test_many_containers_are_one_scan(spark, sr):
     assert plan.count("FileScan") == 1 and sr.points_count == 2000 and took < 6  # 0.9 s here, when nothing else runs
 
 
+def test_batches_without_depths_or_places(sr, vr):
+    for g in (sr, vr):
+        spark = g.spark
+        rows = spark.createDataFrame([(None, 5.0, None), (5.0, 5.0, None)], "x double, y double, z float")
+        g.add_points(rows, "nulls")
+        assert g.points_count == 2 and g.number_of_tiles == 1 and g.mean_depth == 0.0
+        g.add_points(rows.limit(0), "empty")
+        assert g.points_count == 2 and g.containers.keys() == {"nulls", "empty"}
+        assert g.grid(resolution=64.0) == [64.0] and g.cell_count == {} and g.cells().first().density == 1
+        g.grid(resolution=64.0, regrid_option="update")
+        assert g.points().count() == 2
+        g.remove_points("nulls")
+        assert g.cells().count() == 0 and g.points_count == 0
+
+
 def test_coordinate_systems(sr):
     sr.add_points(CLOSE, "a", crs="EPSG:26917")
     assert sr.epsg == 26917

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.operators.heavy import heavy_keys, per_key, skew_join
+from leadline.operators.heavy import heavy_keys, per_key, salted, skew_join
 from leadline.operators.near import Quadtree, RTree, near_counts, near_pairs, near_pairs_in_regions, points_in_regions
 from leadline.operators.smallfiles import archive_files, consolidate, files_adding_nothing
 from leadline.operators.spikes import flag_implausible, forward_backward
@@ -139,7 +139,7 @@ def test_per_key_of_lists_is_salted_or_refused(spark):
         want.setdefault(r.key, []).append(r.v)
     assert {k: v for k, (v, _) in got.items()} == {k: sorted(v) for k, v in want.items()} and [k for k, (_, h) in got.items() if h] == ["big"]
     # No part of the heavy key is more than twice the middle one.
-    parts = [r["count"] for r in df.where("key = 'big'").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(64))).groupBy("_part").count().collect()]
+    parts = [r["count"] for r in df.where("key = 'big'").withColumn("_part", salted(df, 64)).groupBy("_part").count().collect()]
     assert len(parts) == 64 and max(parts) <= 2 * sorted(parts)[32]
 
 
@@ -299,3 +299,20 @@ def test_trees():
     q, p = RTree(x, y).in_boxes(x, y, np.array([[0.1, 0.2, 0.4, 0.3]]))
     assert set(p) == set(np.flatnonzero((x >= 0.1) & (x <= 0.4) & (y >= 0.2) & (y <= 0.3))) and not q.any()
     assert math.isclose(tree.unit * 2**26, max(np.ptp(x), np.ptp(y)) * 1.0001)
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from unittest.mock import MagicMock
+
+    from leadline.sources.shared import shared_root
+
+    session = MagicMock()
+    sc = session.sparkContext
+    sc.getConf.return_value.get.return_value = None
+    sc.getCheckpointDir.return_value = None
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        sc.master = master
+        with pytest.raises(RuntimeError):
+            shared_root(session)
+    sc.getConf.return_value.get.return_value = "hdfs:///shared"
+    assert shared_root(session) == "hdfs:///shared"
