@@ -709,6 +709,7 @@ class Grid:
         batches = [c["batch"] for c in m["containers"].values()]
         if batches:
             to.write_points(self._store.points(batches, self._point_schema()), None)
+            to.keep_folders(batches)
         for b in {*batches, *m["touched"]}:
             to.write_tiles(self._store.tiles([b]), b)
         if not self.no_grid:

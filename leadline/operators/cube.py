@@ -28,7 +28,7 @@ from .keys import with_cells
 from .neighbors import halo_points
 
 CUBE = "cube"
-BLOCK = 8  # nodes a side
+BLOCK = 16  # nodes a side
 PART = 128  # nodes a side of what is chosen from together
 
 #: Fixed values of the published method: length of the median queue, share of

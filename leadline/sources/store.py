@@ -142,6 +142,12 @@ class Store:
         spread = points.hint("rebalance", *by).sortWithinPartitions(*by, "tile_y", "tile_x")
         spread.write.partitionBy(*by).parquet(f"{self.root}/points" + (f"/batch={batch}" if batch else ""))
 
+    def keep_folders(self, batches: list[str]) -> None:
+        """See to it that batches without points have a folder, too."""
+        for b in batches:
+            fs, at = filesystem(self.spark, f"{self.root}/points/batch={b}")
+            fs.mkdirs(at)
+
     def points(self, batches: list[str], schema: T.StructType) -> DataFrame:
         """All points of these batches with ``tile_x``, ``tile_y``, ``batch`` and ``block``: one scan."""
         whole = T.StructType([*schema.fields, T.StructField("batch", T.StringType()), T.StructField("block", T.StringType())])

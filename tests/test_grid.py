@@ -15,6 +15,7 @@ from leadline.operators import chunks, layers, neighbors, stats
 from leadline.operators import resolution as R
 from leadline.operators.keys import with_tiles
 from leadline.operators.slopes import plane_slopes
+from leadline.sources.shared import new_path
 from leadline.streaming.ingest import ingest, running_cells, windowed_cells
 
 
@@ -202,6 +203,8 @@ def test_batches_without_depths_or_places(sr, vr):
         assert g.grid(resolution=64.0) == [64.0] and g.cell_count == {} and g.cells().first().density == 1
         g.grid(resolution=64.0, regrid_option="update")
         assert g.points().count() == 2
+        copy = g.save(new_path(spark, "copy"))
+        assert load_grid(spark, copy.output_folder).points().count() == 2 and copy.cells().count() == 1
         g.remove_points("nulls")
         assert g.cells().count() == 0 and g.points_count == 0
 
