@@ -24,7 +24,8 @@ def to_frame(spark: SparkSession, data) -> DataFrame:
     """The columns x, y, z and, if there are any, tvu and thu, in their types; others are dropped.
 
     Takes a Spark or pandas DataFrame, a one-dimensional structured array, a
-    mapping of arrays, or anything with ``compute`` that gives one of these.
+    mapping of arrays, a dataset of variables, coordinates among them, or
+    anything with ``compute`` that gives one of these.
     x, y and z must be there.
     """
     if isinstance(data, DataFrame):
@@ -36,10 +37,11 @@ def to_frame(spark: SparkSession, data) -> DataFrame:
             if data.dtype.names is None or data.ndim != 1:
                 raise ValueError("an array must be one-dimensional and structured")
             data = pd.DataFrame({n: data[n] for n in data.dtype.names if n in COLUMNS})
+        elif not isinstance(data, pd.DataFrame) and hasattr(data, "variables"):
+            # A dataset is a mapping, too, but of its data only; what is a coordinate in it counts as well.
+            data = pd.DataFrame({n: np.asarray(data[n]).ravel() for n in COLUMNS if n in data.variables})
         elif isinstance(data, Mapping):
             data = pd.DataFrame({n: np.asarray(data[n]) for n in data if n in COLUMNS})
-        elif not isinstance(data, pd.DataFrame) and hasattr(data, "variables"):
-            data = pd.DataFrame({n: np.asarray(data[n]) for n in COLUMNS if n in data.variables})
         if not isinstance(data, pd.DataFrame):
             raise ValueError(f"can't take points from a {type(data).__name__}")
         found = data

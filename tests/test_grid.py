@@ -209,6 +209,25 @@ def test_batches_without_depths_or_places(sr, vr):
         assert g.cells().count() == 0 and g.points_count == 0
 
 
+class Dataset(dict):
+    """Like a dataset of arrays: iterates over its data, has its coordinates among the variables, computes to itself."""
+
+    def __init__(self, data, coords):
+        super().__init__(data)
+        self.coords, self.variables = coords, {**data, **coords}
+
+    def __getitem__(self, name):
+        return self.variables[name]
+
+    def compute(self):
+        return self
+
+
+def test_datasets_with_coordinates(sr):
+    sr.add_points(Dataset({"z": CLOSE["z"], "beam": np.arange(16)}, {"x": CLOSE["x"], "y": CLOSE["y"]}), "d")
+    assert sr.points().columns == ["x", "y", "z", "container"] and sr.points().agg(F.sum("x")).first()[0] == CLOSE["x"].sum()
+
+
 def test_coordinate_systems(sr):
     sr.add_points(CLOSE, "a", crs="EPSG:26917")
     assert sr.epsg == 26917
