@@ -7,6 +7,7 @@ the shared folder of the session.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
@@ -24,7 +25,7 @@ from .operators import cells as C
 from .operators import chunks, layers, lookup, neighbors, stats
 from .operators import resolution as R
 from .operators.cube import CUBE
-from .operators.keys import check_size, origin, with_tiles
+from .operators.keys import check_size, origin, placed
 from .operators.slopes import plane_slopes
 from .sources import export as X
 from .sources.batch import COLUMNS, schema_of, to_frame
@@ -80,11 +81,17 @@ class Grid:
 
     def __init__(self, spark: SparkSession, store: Store, manifest: dict):
         self.spark, self._store, self._m = spark, store, manifest
+        self._saved = copy.deepcopy(manifest)
         self._frames: dict[str, DataFrame] = {}  # scans of what the manifest names, listed once
 
     def _save(self) -> None:
-        self._store.save_manifest(self._m)
         self._frames = {}
+        try:
+            self._store.save_manifest(self._m)
+        except Exception:
+            self._m = copy.deepcopy(self._saved)  # what was meant to change has not
+            raise
+        self._saved = copy.deepcopy(self._m)
 
     def _kept(self, kind: str, make: Callable[[], DataFrame]) -> DataFrame:
         if kind not in self._frames:
@@ -286,13 +293,15 @@ class Grid:
         if old and old != vertical_reference and not ("MLLW" in old and "MLLW" in (vertical_reference or "")):
             raise ValueError(f"vertical reference {vertical_reference!r} differs from {old!r}")
         batch, rows = uuid.uuid4().hex, to_frame(self.spark, data)
-        corner = lambda c: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), origin(F.col(c), self.leaf_size))
+        corner = lambda c: F.when(placed("x", "y"), origin(F.col(c), self.leaf_size))
         rows = rows.withColumns({"container": F.lit(name), "tile_x": corner("x"), "tile_y": corner("y")})
         self._store.write_points(rows.withColumn("block", block_of(F.col("tile_x"), F.col("tile_y"), self._block_side)), batch)
         stored = self._store.points([batch], schema_of(rows.columns))
         z = F.col("z").cast("double")
         ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]
         per_tile = stored.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.count("z").alias("n_z"), F.sum(z).alias("sum_z"), F.max(z != 0).alias("nonzero"), *ends)
+        # Points without a place make a row without a tile, whose ends don't count.
+        per_tile = per_tile.withColumns({e: F.when(F.col("tile_x").isNotNull(), F.col(e)) for e in ("min_x", "min_y", "max_x", "max_y")})
         tiles = self._store.write_tiles(per_tile, batch)
         s = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), to_mm(F.try_divide(F.sum("sum_z"), F.sum("n_z")), True).alias("mean"), F.max("nonzero").alias("nonzero"), *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]).first()
         if s.min_x is not None and s.min_y is not None:

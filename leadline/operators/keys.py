@@ -13,6 +13,14 @@ def origin(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size))).cast("double") * F.lit(float(size))
 
 
+def placed(*coordinates: str) -> Column:
+    """Whether all of these columns are there and finite."""
+    ok = F.lit(True)
+    for c in coordinates:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return ok
+
+
 def check_size(size: float, name: str) -> float:
     """``size`` as a float, if it is a power of two."""
     if not is_power_of_two(size):
@@ -21,9 +29,9 @@ def check_size(size: float, name: str) -> float:
 
 
 def with_tiles(points: DataFrame, size: float, prefix: str = "tile") -> DataFrame:
-    """Add ``{prefix}_x`` and ``{prefix}_y``, the south-west corner of each point's tile; points without coordinates are left out."""
+    """Add ``{prefix}_x`` and ``{prefix}_y``, the south-west corner of each point's tile; points without finite coordinates are left out."""
     size = check_size(size, "tile size")
-    some = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    some = points.where(placed("x", "y"))
     return some.withColumns({f"{prefix}_x": origin(F.col("x"), size), f"{prefix}_y": origin(F.col("y"), size)})
 
 

@@ -17,8 +17,8 @@ from ..sources.tables import table
 
 HEAVY_SHARE = 0.02
 NEAR_METERS = 0.3503
-#: Soundings this close are pairs wherever they lie; at crowded spots pairs grow as the square of the table, so wider ones are counted (p3_near_counts), not listed.
-TOUCHING_METERS = 0.05
+#: Areas are close if the middles of their boxes are.
+AREA_METERS = 1_500.0
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,9 +82,11 @@ def p3_near_counts(spark: SparkSession, folder: str) -> DataFrame:
     return near_counts(table(spark, folder, "points"), NEAR_METERS)
 
 
-def p3_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Soundings of different containers at most ``TOUCHING_METERS`` apart, inside areas or not."""
-    return near_pairs(table(spark, folder, "points"), TOUCHING_METERS)
+def p3_near_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of areas the middles of whose boxes are at most ``AREA_METERS`` apart; the boxes are those of the rings."""
+    middle = lambda c: ((F.array_min(F.col(f"ring.{c}")) + F.array_max(F.col(f"ring.{c}"))) / 2).alias(c)
+    places = table(spark, folder, "areas").select("area_id", middle("x"), middle("y"), F.col("area_id").cast("string").alias("own"))
+    return near_pairs(places, AREA_METERS, key="area_id", group="own")
 
 
 def _point_keys() -> dict:
@@ -131,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_areas": p3_areas,
     "p3_near_counts": p3_near_counts,
-    "p3_near_pairs": p3_near_pairs,
+    "p3_near_areas": p3_near_areas,
     "p6_found": p6_found,
     "p6_key_stats": p6_key_stats,
     "p6_key_shoals": p6_key_shoals,
@@ -176,11 +178,9 @@ SQL: dict[str, str] = {
   counted as (select a.point_id, count(*) as n from around a join binned b on a.nx = b.bx and a.ny = b.by_
   where a.container <> b.container and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR_METERS} * {NEAR_METERS} group by 1)
   select point_id, coalesce(n, 0) as n_near from pts left join counted using (point_id)""",
-    "p3_near_pairs": f"""with pts as (select distinct point_id, x, y, container from points where x is not null and y is not null and container is not null),
-  binned as (select *, floor(x / {TOUCHING_METERS}) as bx, floor(y / {TOUCHING_METERS}) as by_ from pts),
-  around as (select b.*, bx + dx as nx, by_ + dy as ny from binned b, (values (-1), (0), (1)) s(dx), (values (-1), (0), (1)) t(dy))
-  select a.point_id as point_id_a, b.point_id as point_id_b from around a join binned b on a.nx = b.bx and a.ny = b.by_
-  where a.point_id < b.point_id and a.container <> b.container and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {TOUCHING_METERS} * {TOUCHING_METERS}""",
+    "p3_near_areas": f"""with m as (select area_id, (list_min([p.x for p in ring]) + list_max([p.x for p in ring])) / 2 as x, (list_min([p.y for p in ring]) + list_max([p.y for p in ring])) / 2 as y from areas)
+  select a.area_id as area_id_a, b.area_id as area_id_b from m a join m b on a.area_id < b.area_id
+  where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {AREA_METERS} * {AREA_METERS}""",
     "p6_found": f"""select key_kind, key_name from {_KEYS} where key_name is not null group by 1, 2
   having count(*) >= 0.02 * (select count(*) from points)""",
     "p6_key_shoals": f"""with k as (select key_kind, key_name, cast(z as double) as z from {_KEYS} where key_name is not null and isfinite(z)),

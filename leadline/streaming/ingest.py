@@ -20,7 +20,7 @@ def ingest(points: DataFrame, grid, prefix: str, checkpoint: str, regrid: bool =
     def add(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        grid.replace_points(batch, f"{prefix}__{number}")
+        grid.replace_points(batch, f"{prefix}__{number}", vertical_reference=grid.vertical_reference)
         if regrid:
             grid.grid(regrid_option="update" if not grid.no_grid else "full", **gridding)
 

@@ -168,6 +168,7 @@ def test_a_failed_write_leaves_the_grid(spark, sr, monkeypatch):
     other.add_points(SMALL, "b")
     with pytest.raises(OSError):  # someone else's manifest is not replaced
         sr.add_points(SMALL, "c")
+    assert list(sr.containers) == ["a"] and sr.points_count == 16  # what failed is not believed to be there
     again = load_grid(spark, sr.output_folder)
     assert list(again.containers) == ["a", "b"] and again.cells().count() == before
 
@@ -209,6 +210,13 @@ def test_batches_without_depths_or_places(sr, vr):
         assert g.cells().count() == 0 and g.points_count == 0
 
 
+def test_places_that_are_none(sr):
+    bad = [np.nan, np.inf, -np.inf, 5.0]
+    sr.add_points({"x": bad, "y": [5.0] * 4, "z": [1.0, 2.0, 3.0, 4.0]}, "a", vertical_reference="waterline")
+    assert sr.points_count == 4 and sr.number_of_tiles == 1 and sr.return_extents() == [[0.0, 0.0], [1024.0, 1024.0]]
+    assert sr.grid(resolution=64.0) == [64.0] and sr.cells().count() == 1 and sr.layer_values_at_xy(5.0, 5.0) == 4.0
+
+
 class Dataset(dict):
     """Like a dataset of arrays: iterates over its data, has its coordinates among the variables, computes to itself."""
 
